@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op2_token_counts": "token_counts",
+    "op3_mixing": "mixing",
+    "op4_warc": "warc",
     "op6_token_files": "token_files",
 }
 
