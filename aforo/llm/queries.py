@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op1_decontamination": "decontamination",
     "op2_token_counts": "token_counts",
     "op3_mixing": "mixing",
     "op4_warc": "warc",
