@@ -13,6 +13,7 @@ _MODULES = {
     "op3_mixing": "mixing",
     "op4_warc": "warc",
     "op6_token_files": "token_files",
+    "op8_near_dedup": "near_dedup",
     "op10_quality_rules": "quality_rules",
 }
 
