@@ -13,7 +13,9 @@ _MODULES = {
     "op3_mixing": "mixing",
     "op4_warc": "warc",
     "op6_token_files": "token_files",
+    "op7_secrets": "secrets",
     "op8_near_dedup": "near_dedup",
+    "op9_lm_scores": "lm_scoring",
     "op10_quality_rules": "quality_rules",
 }
 
