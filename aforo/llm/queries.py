@@ -12,6 +12,7 @@ _MODULES = {
     "op2_token_counts": "token_counts",
     "op3_mixing": "mixing",
     "op4_warc": "warc",
+    "op5_substring_dedup": "substring_dedup",
     "op6_token_files": "token_files",
     "op7_secrets": "secrets",
     "op8_near_dedup": "near_dedup",

@@ -27,12 +27,34 @@ from .segments import BoundedCache, byte_batches, split_at_spaces
 
 MAGIC, BLOCK = b"PFB1", 256
 _HEAD = struct.Struct("<4sIQII")
-_tokenizers: dict[str, tuple[object, BoundedCache, BoundedCache]] = {}
+_tokenizers: dict[str, tuple[object, np.ndarray, BoundedCache, BoundedCache]] = {}
 
 
 # --- the format -----------------------------------------------------------------------------------------------
 
 
+def _pieces(w: int):
+    """Where the bits of 8 values of w bits lie in their w bytes: (value, byte, left shift of the value against the byte)."""
+    return [(i, k, i * w - 8 * k) for i in range(8) for k in range(i * w // 8, -(-(i + 1) * w // 8))]
+
+
+def _packed(low: np.ndarray, w: int) -> np.ndarray:
+    """(blocks, values) below 2**w as (blocks, bytes), value by value from the lowest bit."""
+    v = low.reshape(-1, 8)
+    out = np.zeros((len(v), w), np.uint8)
+    for i, k, shift in _pieces(w):
+        out[:, k] |= ((v[:, i] << np.uint32(shift)) if shift >= 0 else (v[:, i] >> np.uint32(-shift))).astype(np.uint8)
+    return out.reshape(len(low), -1)
+
+
+def _unpacked(raw: np.ndarray, w: int) -> np.ndarray:
+    b = raw.reshape(-1, w).astype(np.uint32)
+    out = np.zeros((len(b), 8), np.uint32)
+    for i, k, shift in _pieces(w):
+        out[:, i] |= (b[:, k] >> np.uint32(shift)) if shift >= 0 else (b[:, k] << np.uint32(-shift))
+    return (out & np.uint32((1 << w) - 1)).reshape(len(raw), -1)
+
+
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) -> list[bytes]:
     """The blocks of the ids; the last one is filled up with its own first id, which the count in the header cuts off."""
     if not len(ids):
@@ -50,9 +72,7 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) ->
         which = np.flatnonzero(width == w)
         for part in np.array_split(which, -(-len(which) // 2048)):
             r = rest[part]
-            if w:
-                bits = ((r[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-                packed = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
+            packed = _packed(r & np.uint32((1 << w) - 1), w) if w else None
             high = r >> np.uint32(w) if w < 32 else np.zeros_like(r)
             rows, where = np.nonzero(high)
             cut = np.searchsorted(rows, np.arange(len(part) + 1))
@@ -79,13 +99,7 @@ def unpack_blocks(data: memoryview, starts: np.ndarray, block: int = BLOCK) -> n
         which = np.flatnonzero(width == w)
         size = block * w // 8
         for part in np.array_split(which, -(-len(which) // 2048)):
-            if w:
-                bits = np.unpackbits(raw[starts[part][:, None] + 7 + np.arange(size)], axis=1, bitorder="little").reshape(len(part), block, w)
-                v = np.zeros((len(part), block), np.uint32)
-                for k in range(w):
-                    v |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-            else:
-                v = np.zeros((len(part), block), np.uint32)
+            v = _unpacked(raw[starts[part][:, None] + 7 + np.arange(size)], w) if w else np.zeros((len(part), block), np.uint32)
             for j in np.flatnonzero(odd[part]):
                 k, a = int(odd[part[j]]), int(starts[part[j]]) + 7 + size
                 v[j, np.frombuffer(data, "<u2", k, a)] |= np.frombuffer(data, "<u4", k, a + 2 * k) << np.uint32(w)
@@ -146,7 +160,11 @@ def _tokenizer(path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), BoundedCache(1_000_000, 30_000), BoundedCache()
+        t = Tokenizer.from_file(path)
+        starts = np.zeros(t.get_vocab_size() + 1, bool)
+        for token, number in t.get_vocab().items():
+            starts[number] = token.startswith("Ġ")
+        _tokenizers[path] = t, starts, BoundedCache(1_000_000, 30_000), BoundedCache()
     return _tokenizers[path]
 
 
@@ -154,18 +172,37 @@ def _encoded(tokenizer, texts: list[str]) -> list[bytes]:
     return [np.array(x.ids, "<u4").tobytes() for a, b in byte_batches(texts, 500_000) for x in tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
 
 
+def _encoded_words(tokenizer, starts: np.ndarray, words: list[str], run: int = 128) -> list[bytes]:
+    """The ids of each word behind a space. Words without a space inside are encoded in runs, as a text of them: each
+    begins with a token that holds the space, and no other token does."""
+    out: list[bytes] = []
+    runs = [words[i : i + run] for i in range(0, len(words), run)]
+    for own, found in zip(runs, tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False)):
+        ids = np.array(found.ids, "<u4")
+        at = np.flatnonzero(starts[ids])
+        if len(at) != len(own):
+            out += _encoded(tokenizer, [" " + w for w in own])
+            continue
+        raw, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+        out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
 def encode_texts(texts: list[str], path: str, end_id: int) -> Iterator[bytes]:
     """For each text its ids as little-endian u32, with the end id; as the library encodes the whole text.
 
     Texts are cut at lone spaces, where the byte-level pre-tokenizer always starts a new word."""
-    tokenizer, first, later = _tokenizer(path)
+    tokenizer, starts, first, later = _tokenizer(path)
     end = struct.pack("<I", end_id)
     for a, b in byte_batches(texts):
         parts = [split_at_spaces(t) for t in texts[a:b]]
         new = list({p[0] for p in parts} - first.keys())
         first.add(new, _encoded(tokenizer, new))
         new = list(set().union(*(p[1:] for p in parts)) - later.keys())
-        later.add(new, _encoded(tokenizer, [" " + x for x in new]))
+        spaced = [x for x in new if " " in x]
+        plain = [x for x in new if " " not in x] if spaced else new
+        later.add(spaced, _encoded(tokenizer, [" " + x for x in spaced]))
+        later.add(plain, _encoded_words(tokenizer, starts, plain))
         get = later.__getitem__
         for p in parts:
             yield first[p[0]] + b"".join(map(get, p[1:])) + end
@@ -235,7 +272,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     start counts the ids of all documents before it. Only the manifest, a row a file, is ordered as a whole."""
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("path", before.alias("before")).repartition("path")
+    files = manifest.select("path", before.alias("before")).repartition(max(1, manifest.count()), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -201,7 +201,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=_RECORDS.names)
 
-    return manifest.select("path").repartition("path").mapInArrow(read, _RECORDS)
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(read, _RECORDS)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
