@@ -41,9 +41,9 @@ def shingle_hashes(text: str, size: int = 5) -> np.ndarray:
         return h
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = mixed(out * _STEP + h[k : len(h) - n + 1 + k])
-    return out
+    for k in range(n):  # a polynomial in the words' hashes, spread once
+        out = out * _STEP + h[k : len(h) - n + 1 + k]
+    return mixed(out)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("class_id")), "labels")
     while True:
         told = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("class_id").alias("near"))
-        fallen = materialize(labels.join(told, labels.id == told.a).select("id", F.least("class_id", "near").alias("class_id"), F.col("class_id").alias("was")), "labels")
+        fallen = labels.join(told, labels.id == told.a).select("id", F.least("class_id", "near").alias("class_id"), F.col("class_id").alias("was"))
         own = fallen.select(F.col("id").alias("of"), F.col("class_id").alias("its"))
         labels = materialize(fallen.join(own, fallen.class_id == own.of).select("id", F.col("its").alias("class_id"), "was"), "labels")
         if labels.where("class_id <> was").isEmpty():
