@@ -24,7 +24,7 @@ def dialects(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("pathGlobFilter", "*.csv").text(path).select(F.col("_metadata.file_name").alias("archivo"), F.col("_metadata.file_path").alias("ruta"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("en"), "value")
     full = lines.where(~F.col("archivo").rlike(r"^[~.$]"))
     per = full.groupBy("archivo", "ruta").agg(
-        F.bool_or(F.col("value").contains("�")).alias("latin"), F.min_by("value", F.when(F.trim("value") != "", F.col("en"))).alias("primera"), F.count_if(F.trim("value") != "").alias("n_lineas"),
+        F.bool_or(~F.is_valid_utf8("value")).alias("latin"), F.min_by("value", F.when(F.trim("value") != "", F.col("en"))).alias("primera"), F.count_if(F.trim("value") != "").alias("n_lineas"),
     )
     first = F.regexp_replace("primera", "^﻿", "")
     count = lambda c: F.length(first) - F.length(F.replace(first, F.lit(c), F.lit("")))
