@@ -47,9 +47,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
 def fit_budget(lengths: list[int], counts: list[int], budget: int, window: int = 65_536) -> list[int]:
     """How many documents of each length to take so that the words come as near to the budget, from below, as found.
 
-    First each length gives its share, so the selection keeps the source's lengths. Long ones then fill up to `window`
-    words below the budget, and the rest is solved exactly: reachable sums as the bits of an integer, each count split
-    into powers of two."""
+    First each length gives its share, so the selection keeps the source's lengths. Long ones then fill up, or short ones
+    give back, to about `window` words below the budget. That rest is solved exactly: reachable sums as the bits of an
+    integer, each count split into powers of two."""
     total = sum(a * b for a, b in zip(lengths, counts))
     budget = min(budget, total)
     if budget <= 0:
@@ -61,6 +61,10 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, window: int =
         more = min(counts[i] - taken[i], max(0, rest - window) // lengths[i])
         taken[i] += more
         rest -= more * lengths[i]
+    for i in reversed(order):  # short ones give back, so that the exact part has them to choose from
+        back = min(taken[i], max(0, window - rest) // lengths[i])
+        taken[i] -= back
+        rest += back * lengths[i]
     reach, mask, steps = 1, (1 << rest + 1) - 1, []
     for i in order:
         left, k = min(counts[i] - taken[i], rest // lengths[i]), 1
