@@ -291,4 +291,5 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, span:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(only(table(spark, sf_dir, "documents"), "doc_id", "text"), only(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+    found = contamination(only(table(spark, sf_dir, "documents"), "doc_id", "text"), only(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+    return found.drop("n_near")

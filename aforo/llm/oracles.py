@@ -1,3 +1,26 @@
-"""DuckDB SQL for the training-data queries that SQL can express."""
+"""DuckDB SQL for the training-data queries that SQL can express.
 
-SQL: dict[str, str] = {}
+The others rest on a tokenizer library, on learning, on iteration or on dynamic programming: their tests compare them with
+brute force, with the library itself or by an exact round trip."""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS phrase FROM i, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k) x WHERE len(w) > 0),
+dw AS (SELECT r, n, k, array_to_string(w[k : k + n - 1], ' ') AS phrase FROM d, (SELECT DISTINCT n FROM iw) l, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS k) x),
+hits AS (SELECT r, k, dw.n, item FROM dw JOIN iw ON dw.phrase = iw.phrase AND dw.n = iw.n),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hits) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
+OP9 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents), x AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS k FROM d),
+t AS (SELECT r, k, a, lag(a) OVER s AS b, lag(a, 2) OVER s AS c FROM x WINDOW s AS (PARTITION BY r ORDER BY k)), u AS (SELECT a, count(*) AS n FROM t GROUP BY a), v AS (SELECT b, a, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, a),
+z AS (SELECT c, b, a, count(*) AS n FROM t WHERE c IS NOT NULL GROUP BY c, b, a), total AS (SELECT count(*) AS n FROM t),
+e AS (SELECT t.r, CASE WHEN z.n >= 2 THEN ln(z.n) - ln(vc.n) WHEN v.n >= 2 THEN ln(v.n) - ln(uc.n) + CASE WHEN t.c IS NOT NULL THEN ln(0.4) ELSE 0 END
+    ELSE ln(u.n) - ln(total.n) + CASE WHEN t.c IS NOT NULL THEN 2 * ln(0.4) WHEN t.b IS NOT NULL THEN ln(0.4) ELSE 0 END END AS s, CASE WHEN t.c IS NOT NULL THEN coalesce(z.n, 0) < 2 WHEN t.b IS NOT NULL THEN coalesce(v.n, 0) < 2 ELSE false END AS bo
+  FROM t CROSS JOIN total JOIN u ON u.a = t.a LEFT JOIN v ON v.b = t.b AND v.a = t.a LEFT JOIN z ON z.c = t.c AND z.b = t.b AND z.a = t.a LEFT JOIN u uc ON uc.a = t.b LEFT JOIN v vc ON vc.b = t.c AND vc.a = t.b)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(f.nb, 0) AS n_backoff, coalesce(f.s, 0.0) AS log_score FROM d LEFT JOIN (SELECT r, count(*) FILTER (WHERE bo) AS nb, round(sum(s), 4) AS s FROM e GROUP BY r) f USING (r)"""
+
+SQL: dict[str, str] = {"op1_decontamination": OP1, "op9_lm_scores": OP9}

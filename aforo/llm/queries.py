@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {name: sql for name, sql in oracles.SQL.items() if name in _MODULES or name == "pipeline"}
+    return {name: sql for name, sql in oracles.SQL.items() if name in _MODULES}
