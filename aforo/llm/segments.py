@@ -9,15 +9,20 @@ from __future__ import annotations
 import re
 
 _MARK = "▁"
-_RUN = re.compile(r"\s\s|^\s|\s$|" + _MARK)
+_SPACES = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _CUT = re.compile(rf"(?<=[^\s{_MARK}]) (?=[^\s{_MARK}])")
 
 
 def split_at_spaces(text: str) -> list[str]:
     """Parts of the text without the lone spaces between them; ' '.join gives the text back."""
-    if _RUN.search(text) is None:
-        return text.split(" ")
-    return _CUT.split(text)
+    return text.split(" ") if _only_lone_spaces(text) else _CUT.split(text)
+
+
+def _only_lone_spaces(text: str) -> bool:
+    """Whether each space stands between two other characters: single searches, far faster than a pattern."""
+    if text[:1] == " " or text[-1:] == " " or _MARK in text:
+        return False
+    return not any(x in text and (" " + x in text or x + " " in text) for x in _SPACES)
 
 
 class BoundedCache(dict):

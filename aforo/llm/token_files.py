@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import materialize, only, open_output, read_bytes, scratch_path, table
 from .segments import BoundedCache, byte_batches, split_at_spaces
 
-MAGIC, BLOCK = b"PFB1", 256
+MAGIC, BLOCK = b"PFB1", 512
 _HEAD = struct.Struct("<4sIQII")
 _tokenizers: dict[str, tuple[object, np.ndarray, BoundedCache, BoundedCache]] = {}
 
@@ -164,7 +164,7 @@ def _tokenizer(path: str):
         starts = np.zeros(t.get_vocab_size() + 1, bool)
         for token, number in t.get_vocab().items():
             starts[number] = token.startswith("Ġ")
-        _tokenizers[path] = t, starts, BoundedCache(1_000_000, 30_000), BoundedCache()
+        _tokenizers[path] = t, starts, BoundedCache(1_000_000, 30_000), BoundedCache(20_000_000, 1_000_000)
     return _tokenizers[path]
 
 
@@ -188,6 +188,25 @@ def _encoded_words(tokenizer, starts: np.ndarray, words: list[str], run: int = 1
     return out
 
 
+_MARKS = ".,!?;:"  # a letter before one of these always ends a pre-token, and a run of these up to a space is one
+
+
+def _add_words(tokenizer, starts: np.ndarray, new: set[str], later: BoundedCache, first: BoundedCache) -> None:
+    """Put new parts into the cache. What ends in punctuation shares the encoding of its word with other endings."""
+    spaced = [x for x in new if " " in x]
+    ended = []
+    for x in [x for x in new if x[-1:] in _MARKS and " " not in x]:
+        core = x.rstrip(_MARKS)
+        if core[-1:].isalpha():
+            ended.append((x, core, x[len(core) :]))
+    words = list(new.difference(spaced, [x for x, _, _ in ended]).union({c for _, c, _ in ended} - later.keys()))
+    later.add(spaced, _encoded(tokenizer, [" " + x for x in spaced]))
+    later.add(words, _encoded_words(tokenizer, starts, words))
+    tails = list({t for _, _, t in ended} - first.keys())
+    first.add(tails, _encoded(tokenizer, tails))
+    later.add([x for x, _, _ in ended], [later[c] + first[t] for _, c, t in ended])
+
+
 def encode_texts(texts: list[str], path: str, end_id: int) -> Iterator[bytes]:
     """For each text its ids as little-endian u32, with the end id; as the library encodes the whole text.
 
@@ -196,16 +215,15 @@ def encode_texts(texts: list[str], path: str, end_id: int) -> Iterator[bytes]:
     end = struct.pack("<I", end_id)
     for a, b in byte_batches(texts):
         parts = [split_at_spaces(t) for t in texts[a:b]]
-        new = list({p[0] for p in parts} - first.keys())
+        heads = [p[0] for p in parts]
+        for p in parts:
+            del p[0]
+        new = list(set(heads) - first.keys())
         first.add(new, _encoded(tokenizer, new))
-        new = list(set().union(*(p[1:] for p in parts)) - later.keys())
-        spaced = [x for x in new if " " in x]
-        plain = [x for x in new if " " not in x] if spaced else new
-        later.add(spaced, _encoded(tokenizer, [" " + x for x in spaced]))
-        later.add(plain, _encoded_words(tokenizer, starts, plain))
+        _add_words(tokenizer, starts, set().union(*parts) - later.keys(), later, first)
         get = later.__getitem__
-        for p in parts:
-            yield first[p[0]] + b"".join(map(get, p[1:])) + end
+        for head, p in zip(heads, parts):
+            yield first[head] + b"".join(map(get, p)) + end
         first.trim()
         later.trim()
 
