@@ -495,7 +495,8 @@ def score_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = P.training(spark, sf_dir)
+    """Kept in memory or on disk: the year, the majority class, the weights and the tests all read it."""
+    full = P.training(spark, sf_dir).persist()
     return evaluation.with_split_year(full, rollup.test_year(full))
 
 
@@ -599,7 +600,7 @@ _SMALL = {"trees": 20, "depth": 6, "boosts": 5, "boost_depth": 3, "iterations":
 
 
 def _trained(spark: SparkSession, sf_dir: str, name: str) -> tuple[learning.FittedModel, DataFrame]:
-    parts = _split(spark, sf_dir).persist()
+    parts = _split(spark, sf_dir)
     train, test = parts.where("parte = 'train'"), parts.where("parte = 'test'")
     return learning.fit(train, name, **_SMALL), test
 
