@@ -43,7 +43,7 @@ def count_tokens(texts: list[str], model_path: str) -> list[int]:
     out: list[int] = []
     for a, b in byte_batches(texts):
         parts = [split_at_spaces(t) if t else [] for t in texts[a:b]]
-        new = list(set().union(*parts) - cache.keys())
+        new = [x for x in set().union(*parts) if x not in cache]
         cache.add(new, list(map(len, model.encode(new, num_threads=1))))
         get = cache.__getitem__
         out += [sum(map(get, p)) for p in parts]

@@ -199,10 +199,10 @@ def _add_words(tokenizer, starts: np.ndarray, new: set[str], later: BoundedCache
         core = x.rstrip(_MARKS)
         if core[-1:].isalpha():
             ended.append((x, core, x[len(core) :]))
-    words = list(new.difference(spaced, [x for x, _, _ in ended]).union({c for _, c, _ in ended} - later.keys()))
+    words = list(new.difference(spaced, [x for x, _, _ in ended]).union(c for _, c, _ in ended if c not in later))
     later.add(spaced, _encoded(tokenizer, [" " + x for x in spaced]))
     later.add(words, _encoded_words(tokenizer, starts, words))
-    tails = list({t for _, _, t in ended} - first.keys())
+    tails = list({t for _, _, t in ended if t not in first})
     first.add(tails, _encoded(tokenizer, tails))
     later.add([x for x, _, _ in ended], [later[c] + first[t] for _, c, t in ended])
 
@@ -218,9 +218,9 @@ def encode_texts(texts: list[str], path: str, end_id: int) -> Iterator[bytes]:
         heads = [p[0] for p in parts]
         for p in parts:
             del p[0]
-        new = list(set(heads) - first.keys())
+        new = [x for x in set(heads) if x not in first]
         first.add(new, _encoded(tokenizer, new))
-        _add_words(tokenizer, starts, set().union(*parts) - later.keys(), later, first)
+        _add_words(tokenizer, starts, {x for x in set().union(*parts) if x not in later}, later, first)
         get = later.__getitem__
         for head, p in zip(heads, parts):
             yield first[head] + b"".join(map(get, p)) + end
