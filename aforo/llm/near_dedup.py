@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +73,13 @@ def counted_shingles(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingle_hashes(text, size), return_counts=True)
 
 
+def shingle_copies(text: str, size: int) -> np.ndarray:
+    """A hash for each copy of each shingle: what two of these sets share is what the multisets share."""
+    h, n = counted_shingles(text, size)
+    copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return mixed(np.repeat(h, n) + copy.astype(np.uint64) * _STEP)
+
+
 def multiset_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1) if len(b[0]) else np.empty(0, np.int64)
     if not len(at):
@@ -125,48 +132,106 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int, g
     return dealt.groupBy("pivot", "part").applyInArrow(compare, _LINKS)
 
 
-def near_links(docs: DataFrame, distinct: DataFrame, *, threshold: float, size: int, growth: int = 4) -> DataFrame | None:
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """(len(one), len(two)): how many elements each two sets of 64-bit hashes share, by products of 0/1 matrices of so many columns."""
+    sets = one + two
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    element = np.concatenate(sets)
+    both = np.intersect1d(element[owner < len(one)], element[owner >= len(one)])
+    at = np.minimum(np.searchsorted(both, element), max(len(both) - 1, 0))
+    held = both[at] == element if len(both) else np.zeros(len(element), bool)
+    order = np.argsort(at[held], kind="stable")
+    owner, at = owner[held][order], at[held][order]
+    out = np.zeros((len(one), len(two)), np.int64)
+    for low in range(0, len(both), columns):
+        a, b = np.searchsorted(at, [low, low + columns])
+        m = np.zeros((len(sets), min(columns, len(both) - low)), np.float32)
+        m[owner[a:b], at[a:b] - low] = 1
+        out += (m[: len(one)] @ m[len(one) :].T).astype(np.int64)
+    return out
+
+
+def spanning_links(ids: list[int], parts: list[int], sides: list[bool], sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, float]]:
+    """Links (a, b, similarity) that join all parts with a pair of texts at the threshold, no two of them joining the same parts.
+
+    Texts of one side are compared with each other, those of two sides across only; multisets come as sets of their elements' copies."""
+    rows = [k for k, side in enumerate(sides) if not side]
+    columns = [k for k, side in enumerate(sides) if side] or rows
+    shared = shared_counts([sets[k] for k in rows], [sets[k] for k in columns])
+    size = np.array([len(x) for x in sets], np.int64)
+    either = size[rows][:, None] + size[columns][None, :] - shared
+    similarity = shared / np.maximum(either, 1)
+    part = np.array(parts, np.int64)
+    root = {x: x for x in parts}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in np.argwhere((similarity >= threshold) & (part[rows][:, None] != part[columns][None, :])).tolist():
+        a, b = rows[i], columns[j]
+        x, y = find(parts[a]), find(parts[b])
+        if x != y:
+            root[x] = y
+            out.append((ids[a], ids[b], float(similarity[i, j])))
+    return out
+
+
+def _across(left: DataFrame, texts: DataFrame, threshold: float, size: int, group: int = 256) -> DataFrame:
+    """Links between the parts of each bucket, from (bucket, member, part): every two texts of different parts are compared.
+
+    A bucket's members are dealt to tiles of about `group`, those of a large part to tiles of its own, and every two tiles
+    meet in a task, except two of the same part. n texts cross some n / group times. Buckets of equal members count once."""
+    counted = left.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min("member").alias("low"), F.max("member").alias("high"), *[F.expr(f"bit_xor(xxhash64(member, {k}))").alias(f"x{k}") for k in (1, 2)])
+    counted = materialize(counted, "near-parts")
+    mixed_ones = counted.groupBy("bucket").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.expr("bit_xor(x1)").alias("x1"), F.expr("bit_xor(x2)").alias("x2"),
+        F.coalesce(F.sum(F.when(F.col("n") < group, F.col("n"))), F.lit(0)).alias("small"),
+    ).where("parts > 1")
+    once = materialize(mixed_ones.groupBy("n", "low", "high", "x1", "x2").agg(F.min_by(F.struct("bucket", "small"), "bucket").alias("first")).select("first.*"), "near-mixed")
+    large = F.col("n") >= group
+    deal = counted.join(once, "bucket").select("bucket", "part", large.alias("large"), F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / group).alias("tiles"))
+    nr = F.pmod(F.xxhash64(F.when(F.col("large"), F.col("member")).otherwise(F.col("part"))), F.col("tiles"))
+    owner = F.when(F.col("large"), F.col("part").cast("string")).otherwise(F.lit(""))
+    dealt = materialize(left.join(deal, ["bucket", "part"]).select("bucket", "member", "part", owner.alias("owner"), F.concat_ws("/", owner, nr).alias("tile")), "near-tiles")
+    tiles = materialize(dealt.select("bucket", "owner", "tile").distinct(), "near-tile-names")
+    one, two = (tiles.select("bucket", F.col("owner").alias(f"owner_{k}"), F.col("tile").alias(k)) for k in ("one", "two"))
+    meet = materialize(one.join(two, "bucket").where("one <= two and (owner_one <> owner_two or owner_one = '')").select("bucket", "one", "two"), "near-meet")
+    first = dealt.join(meet, [dealt.bucket == meet.bucket, dealt.tile == meet.one]).select(meet.bucket, "one", "two", "member", "part", F.lit(False).alias("side"))
+    second = dealt.join(meet.where("one <> two"), [dealt.bucket == meet.bucket, dealt.tile == meet.two]).select(meet.bucket, "one", "two", "member", "part", F.lit(True).alias("side"))
+    roles = materialize(first.union(second).withColumnRenamed("member", "doc_id"), "near-roles")
+
+    def compare(batch: pa.Table) -> pa.Table:
+        parts = batch.column("part").to_pylist()
+        rows = []
+        if len(set(parts)) > 1:
+            sets = [shingle_copies(t.as_py(), size) for t in batch.column("text")]
+            rows = spanning_links(batch.column("doc_id").to_pylist(), parts, batch.column("side").to_pylist(), sets, threshold)
+        return pa.table({"a": pa.array([a for a, _, _ in rows], pa.int64()), "b": pa.array([b for _, b, _ in rows], pa.int64()), "similarity": pa.array([s for _, _, s in rows], pa.float64())})
+
+    return roles.join(texts, "doc_id").groupBy("bucket", "one", "two").applyInArrow(compare, _LINKS)
+
+
+def near_links(docs: DataFrame, distinct: DataFrame, *, threshold: float, size: int) -> DataFrame | None:
     """Verified links (a, b, similarity) among distinct texts (doc_id, bands); None if no band is shared.
 
-    In each shared bucket the smallest id is compared with every other. Those that it links leave with it, and the next round
-    takes `growth` times as many of what remains as pivots, and so on until no bucket has two texts left. A bucket of n texts
-    in k unlike groups thus costs some n x k comparisons in log k rounds. A pair is compared once, and not at all if the
-    first round's links join its texts already."""
+    In each shared bucket the smallest id is compared with every other. In buckets whose texts these links have not joined
+    to one component, every two texts of different components are then compared, so no two texts at the threshold that share
+    a bucket stay apart. A bucket of n texts in k components thus costs up to some n x n x (1 - 1/k) / 2 comparisons."""
     rows = distinct.select("doc_id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     left = materialize(rows.join(materialize(shared, "near-shared"), "bucket").select("bucket", F.col("doc_id").alias("member")), "near-buckets")
     texts = materialize(docs.join(left.select(F.col("member").alias("doc_id")).distinct(), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"]), "near-texts")
-    left = left.withColumn("part", F.col("member"))
-    links = None
-    tested = None
-    width = 1
-    while True:
-        if width == 1:
-            pivots = left.groupBy("bucket").agg(F.min("member").alias("pivot")).withColumn("of", F.col("pivot"))
-        else:
-            # ranks are limited where rows are read, so a large bucket sends `width` rows a task
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("member"))
-            pivots = left.withColumn("rank", rank).where(F.col("rank") <= width).select("bucket", F.col("member").alias("pivot"), F.col("part").alias("of"))
-        pivots = materialize(pivots, "near-pivots")
-        faced = materialize(left.join(pivots, "bucket").where("member > pivot and part <> of").select("bucket", "member", "pivot"), "near-faced")
-        if faced.isEmpty():
-            return links
-        pairs = faced.select("member", "pivot").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["member", "pivot"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        found = materialize(_verified(pairs, texts, threshold, size), "near-links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        linked = faced.join(links.select(F.col("a").alias("member"), F.col("b").alias("pivot")), ["member", "pivot"], "left_semi").select("bucket", "member")
-        gone = linked.union(pivots.select("bucket", F.col("pivot").alias("member"))).distinct()
-        rest = left.join(gone, ["bucket", "member"], "left_anti")
-        if width == 1:
-            # what the first round has joined, mostly through other buckets, need not be compared again
-            parts = connected_components(links).select(F.col("id").alias("member"), F.col("class_id"))
-            rest = rest.join(parts, "member", "left").select("bucket", "member", F.coalesce("class_id", "member").alias("part"))
-        left = materialize(rest, "near-buckets")
-        width *= growth
+    pivots = materialize(left.groupBy("bucket").agg(F.min("member").alias("pivot")), "near-pivots")
+    pairs = materialize(left.join(pivots, "bucket").where("member > pivot").select("member", "pivot").distinct(), "near-pairs")
+    if pairs.isEmpty():
+        return None
+    links = materialize(_verified(pairs, texts, threshold, size), "near-links")
+    parts = connected_components(links).select(F.col("id").alias("member"), F.col("class_id"))
+    left = materialize(left.join(parts, "member", "left").select("bucket", "member", F.coalesce("class_id", "member").alias("part")), "near-buckets")
+    return links.unionByName(materialize(_across(left, texts, threshold, size), "near-links"))
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, n_bands: int = 32, rows: int = 5) -> DataFrame:

@@ -87,6 +87,50 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_a_hub_with_the_largest_id(spark):
+    rng = random.Random(5)
+    base = [f"h{i}" for i in range(400)]
+    docs = [(1000, " ".join(base))]
+    for i in range(120):  # each copy is some 0.86 like the hub, two copies some 0.74 like each other
+        copy = base[:]
+        for k in rng.sample(range(5, 395, 6), 6):
+            copy[k] = f"c{i}x{k}"
+        docs.append((i, " ".join(copy)))
+    sets = {i: near_dedup.counted_shingles(t, 5) for i, t in docs}
+    assert all(near_dedup.multiset_jaccard(sets[i], sets[1000]) >= 0.8 for i in range(120))
+    assert sum(near_dedup.multiset_jaccard(sets[0], sets[i]) >= 0.8 for i in range(1, 120)) < 12
+    keys = {i: set(near_dedup.bands(near_dedup.bag_min_hash(np.zeros(len(h), np.int64), h, n, 1, 160), 5)[0].tolist()) for i, (h, n) in sets.items()}
+    assert all(keys[i] & keys[1000] for i in range(120))
+    got = near_dedup.near_duplicates(frame(spark, docs)).collect()
+    assert {r.class_id for r in got} == {0} and sum(r.keep for r in got) == 1
+
+
+def test_tiles_compare_all_pairs_of_unlike_parts(spark):
+    base = [prose(60).split() for _ in range(4)]
+    texts = []
+    for i in range(60):
+        copy = base[i % 4][:]
+        copy[R.randrange(60)] = f"t{i}"
+        copy[R.randrange(60)] = f"u{i}"
+        texts.append(" ".join(copy))
+    left = spark.createDataFrame([(7, i, 0 if i % 4 == 0 and i < 40 else i) for i in range(60)], "bucket long, member long, part long")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [near_dedup.counted_shingles(t, 5) for t in texts]
+    similar = {(i, j) for i in range(60) for j in range(i) if near_dedup.multiset_jaccard(sets[i], sets[j]) >= 0.7}
+
+    def classes(pairs):
+        root = list(range(60))
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [b if x == a else x for x in root]
+        return {frozenset(k for k in range(60) if root[k] == x) for x in root}
+
+    same = [(i, 0) for i in range(0, 40, 4)]
+    got = near_dedup._across(left, docs, 0.7, 5, group=8).collect()
+    assert all(abs(near_dedup.multiset_jaccard(sets[r.a], sets[r.b]) - r.similarity) < 1e-12 and r.similarity >= 0.7 for r in got)
+    assert classes([(r.a, r.b) for r in got] + same) == classes(list(similar) + same)
+
+
 def test_compact_windows_are_the_trees_nodes():
     rng = np.random.default_rng(1)
     shingles, ends, width = rng.integers(0, 60, 400).astype(np.uint64) * np.uint64(7919), np.array([100, 130, 130, 400]), 20
