@@ -594,15 +594,13 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.model_selection(m, m.where("modelo <> 'Persistencia_Riesgo_Actual'"))
 
 
-# --- learning: small models, by parameters ------------------------------------------------------------------------
-
-_SMALL = {"trees": 20, "depth": 6, "boosts": 5, "boost_depth": 3, "iterations": 30}
+# --- learning: the models of learning.classifiers -----------------------------------------------------------------
 
 
 def _trained(spark: SparkSession, sf_dir: str, name: str) -> tuple[learning.FittedModel, DataFrame]:
     parts = _split(spark, sf_dir)
     train, test = parts.where("parte = 'train'"), parts.where("parte = 'test'")
-    return learning.fit(train, name, **_SMALL), test
+    return learning.fit(train, name), test
 
 
 def _train(name: str) -> Query:

@@ -27,3 +27,24 @@ def test_query_matches_sql(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_registered_models_are_those_of_the_reference(spark, monkeypatch):
+    class Rows:
+        def where(self, _):
+            return self
+
+        def withColumn(self, *_):
+            return self
+
+    fitted = []
+    monkeypatch.setattr(catalog, "_split", lambda spark, sf_dir: Rows())
+    monkeypatch.setattr(catalog.learning, "fit", lambda train, name, **parameters: fitted.append(catalog.learning.classifiers(**parameters)[name]))
+    for f in ("evaluated", "feature_importance", "score"):
+        monkeypatch.setattr(catalog.learning, f, lambda *_: None)
+    for name in ("train_logistic", "train_forest", "train_boosted", "feature_importance", "score"):
+        catalog.queries()[name](spark, SF)
+    logistic, forest, boosted, *others = fitted
+    assert logistic.getMaxIter() == 2000
+    assert all((m.getNumTrees(), m.getMaxDepth()) == (300, 12) for m in (forest, *others))
+    assert (boosted.getClassifier().getMaxIter(), boosted.getClassifier().getMaxDepth()) == (300, 5)
