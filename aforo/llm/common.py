@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 
@@ -15,11 +16,14 @@ _SCRATCH_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session's spark.checkpoint.dir names it.
 
-    Where the setting is absent (local tests) a temporary folder is made once and kept in the session."""
+    Where the setting is absent a local session (tests) gets a temporary folder, made once and kept in the session; on a
+    cluster that is an error, as its executors would not share it."""
     found = spark.conf.get(_SCRATCH_KEY, None)
     if found is None:
         found = spark.conf.get("aforo.scratch.dir", None)
     if found is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {_SCRATCH_KEY} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-aforo-")
         spark.conf.set("aforo.scratch.dir", found)
     return found.rstrip("/")
@@ -42,6 +46,13 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Delete the files of a table of materialize() once another written table holds all that is still needed of it."""
+    for path in {posixpath.dirname(f) for f in written.inputFiles()}:
+        where, local = _resolve(path)
+        where.delete_dir(local)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -51,6 +62,22 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def text_hash(column: str):
+    """A 64-bit hash of a text, null as empty: with the doc_id it tells rows apart whose doc_id repeats."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit(""))).alias("text_hash")
+
+
 def open_output(url: str):
     """A binary stream for writing at a URL on any file system that pyarrow knows (file, hdfs, s3, gs)."""
     from pyarrow import fs

@@ -14,26 +14,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, only, open_output, read_bytes, scratch_path, table
-from .shingles import _STEP, mixed
+from .shingles import _STEP, mixed, word_hashes
 
-_hashes: dict[bytes, int] = {}
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each run without space, tab, newline, vertical tab, form feed or carriage return."""
-    import xxhash
-
-    tokens = (text or "").encode().split()
-    if len(_hashes) > 600_000:
-        _hashes.clear()
-    for w in set(tokens).difference(_hashes):
-        _hashes[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each text, the words' 64-bit hashes in order); words are runs without space, tab, newline, vertical tab,
+    form feed or carriage return."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    n, flat = np.diff(np.asarray(lists.offsets)).astype(np.int64), lists.flatten()
+    empty = np.asarray(pc.equal(flat, ""))  # before a leading space, behind a trailing one, and of an empty text
+    if empty.any():
+        n -= np.bincount(np.repeat(np.arange(len(n)), n)[empty], minlength=len(n))
+        flat = flat.filter(pa.array(~empty))
+    return n, word_hashes(flat)
 
 
 def ngram_hashes(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
@@ -117,17 +115,15 @@ def document_blocks(docs: DataFrame, folder: str, block_chars: int) -> DataFrame
     return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, _BLOCKS), "lm-blocks")
 
 
-def _read_block(url: str) -> tuple[list[int | None], list[str]]:
+def _read_block(url: str) -> tuple[pa.Array, pa.Array]:
     import pyarrow.ipc as ipc
 
     t = ipc.open_stream(read_bytes(url)).read_all()
-    return t.column("doc_id").to_pylist(), t.column("text").to_pylist()
+    return t.column("doc_id").combine_chunks(), t.column("text").combine_chunks()
 
 
-def _block_grams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    each = [word_hashes(t) for t in texts]
-    n = np.array([len(x) for x in each], np.int64)
-    tokens = np.concatenate(each) if each else np.empty(0, np.uint64)
+def _block_grams(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    n, tokens = hashed_words(texts)
     return n, ngram_hashes(tokens, np.repeat(np.cumsum(n) - n, n), order)
 
 
@@ -138,10 +134,10 @@ def _block_counts(hashes: list[np.ndarray], answers: pa.Table, min_count: int) -
     for n, h in enumerate(hashes, 1):
         found = [_counts(c) for m, _, c in got if m == n]
         asked = _asked(h, n, out, min_count)
-        known = np.unique(h[asked])
         counts = np.zeros(len(h))
         if found:
-            counts[asked] = np.concatenate(found)[np.searchsorted(known, h[asked])]
+            _, where = np.unique(h[asked], return_inverse=True)
+            counts[asked] = np.concatenate(found)[where]
         out.append(counts)
     return out
 
@@ -233,7 +229,7 @@ def stupid_backoff(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, min_c
             used = np.where(seen, n, used)
         possible = np.sum([h > 0 for h in hashes], axis=0) if words else used
         of = np.repeat(np.arange(len(ids)), length)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(length), "n_backoff": pa.array(np.bincount(of, weights=used < possible, minlength=len(ids)).astype(np.int64)), "log_score": pa.array(np.bincount(of, weights=value, minlength=len(ids)))})
+        return pa.table({"doc_id": ids, "n_words": pa.array(length), "n_backoff": pa.array(np.bincount(of, weights=used < possible, minlength=len(ids)).astype(np.int64)), "log_score": pa.array(np.bincount(of, weights=value, minlength=len(ids)))})
 
     return blocks.select("block", "path").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, _SCORES)
 

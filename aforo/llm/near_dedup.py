@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, only, table
-from .segments import byte_batches
-from .shingles import _STEP, connected_components, mixed, shingle_hashes, words
+from .common import fresh, materialize, only, table, text_hash
+from .segments import text_batches
+from .shingles import _STEP, connected_components, mixed, shingles_of, slices, split_words, word_hashes
 
 
 def _steps(k: int) -> np.uint64:
@@ -53,7 +53,7 @@ def bag_min_hash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
         lands = now < latest[d]
         hit = lands & (((r & np.uint64(0xFFFFFFFF)) * width.astype(np.uint64) >> np.uint64(32)).astype(np.int64) < above)
         np.minimum.at(times.reshape(-1), d[hit] * registers + register[hit], now[hit])
-        some = np.unique(d)
+        some = np.flatnonzero(np.bincount(d, minlength=n_docs))
         latest[some] = times[some].max(axis=1)
         keep = now < latest[d]
         d, seed, above, width, now = d[keep], seed[keep], above[keep], width[keep], now[keep]
@@ -69,13 +69,18 @@ def bands(times: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def counted_shingles(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(shingle_hashes(text, size), return_counts=True)
+def shingle_lists(texts: pa.Array, size: int) -> list[np.ndarray]:
+    n, words = split_words(texts)
+    return slices(*shingles_of(n, word_hashes(words), size))
 
 
-def shingle_copies(text: str, size: int) -> np.ndarray:
+def counted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(shingles, return_counts=True)
+
+
+def shingle_copies(shingles: np.ndarray) -> np.ndarray:
     """A hash for each copy of each shingle: what two of these sets share is what the multisets share."""
-    h, n = counted_shingles(text, size)
+    h, n = counted(shingles)
     copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     return mixed(np.repeat(h, n) + copy.astype(np.uint64) * _STEP)
 
@@ -88,26 +93,27 @@ def multiset_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(shared / (a[1].sum() + b[1].sum() - shared))
 
 
-_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType())])
 
 
 def signed(docs: DataFrame, *, n_bands: int = 32, rows: int = 5, size: int = 5) -> DataFrame:
-    """(doc_id, digest, bands): a 128-bit digest of the words and the band keys; both null for a text without words."""
+    """(doc_id, text_hash, key, bands): a 64-bit digest of the words and the band keys; both null for a text without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in byte_batches(texts, 3_000_000):
-                found = [counted_shingles(t, size) for t in texts[a:b]]
-                n = [len(x) for x, _ in found]
-                keys = bands(bag_min_hash(np.repeat(np.arange(b - a), n), np.concatenate([x for x, _ in found]), np.concatenate([c for _, c in found]).astype(np.int64), b - a, n_bands * rows), rows)
-                digests = [hashlib.blake2b(" ".join(words(t)).encode(), digest_size=16).digest() if k else None for t, k in zip(texts[a:b], n)]
-                empty = np.array([k == 0 for k in n])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * n_bands, pa.int32()), pa.array(keys.reshape(-1)), mask=pa.array(empty))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(digests, pa.binary()), lists], names=_SIGNED.names)
+            for a, b in text_batches(batch.column(2), 3_000_000):
+                n, words = split_words(batch.column(2).slice(a, b - a))
+                h = word_hashes(words)
+                found = [counted(x) for x in slices(*shingles_of(n, h, size))]
+                m = [len(x) for x, _ in found]
+                times = bag_min_hash(np.repeat(np.arange(b - a), m), np.concatenate([x for x, _ in found]), np.concatenate([c for _, c in found]).astype(np.int64), b - a, n_bands * rows)
+                digests = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in slices(n, h)]
+                empty = pa.array(n == 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * n_bands, pa.int32()), pa.array(bands(times, rows).reshape(-1)), mask=empty)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.array(digests, np.int64), mask=n == 0), lists], names=_SIGNED.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sign, _SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), text_hash("text"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sign, _SIGNED)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int, group: int = 256) -> DataFrame:
@@ -116,17 +122,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int, g
     A pivot's members are dealt to groups of about `group`, each with a copy of the pivot's text, so no task gets all
     members of a pivot that many share."""
     groups = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / group).alias("groups"))
-    members = pairs.join(groups, "pivot").select(F.col("member").alias("doc_id"), "pivot", F.pmod(F.xxhash64("member"), F.col("groups")).alias("part"))
-    pivots = groups.select(F.col("pivot").alias("doc_id"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"))
+    members = pairs.join(groups, "pivot").select(F.col("member").alias("key"), "pivot", F.pmod(F.xxhash64("member"), F.col("groups")).alias("part"))
+    pivots = groups.select(F.col("pivot").alias("key"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"))
     roles = materialize(members.union(pivots), "near-roles")
-    dealt = roles.join(texts, "doc_id")
+    dealt = roles.join(texts, "key")
 
     def compare(batch: pa.Table) -> pa.Table:
         pivot = batch.column("pivot")[0].as_py()
-        ids, found = batch.column("doc_id").to_pylist(), batch.column("text")
-        own = counted_shingles(found[ids.index(pivot)].as_py(), size)
-        rows = [(i, multiset_jaccard(own, counted_shingles(t.as_py(), size))) for i, t in zip(ids, found) if i != pivot]
-        rows = [(i, s) for i, s in rows if s >= threshold]
+        keys = batch.column("key").to_pylist()
+        found = [counted(x) for x in shingle_lists(batch.column("text").combine_chunks(), size)]
+        own = found[keys.index(pivot)]
+        rows = [(i, s) for i, s in ((i, multiset_jaccard(own, x)) for i, x in zip(keys, found) if i != pivot) if s >= threshold]
         return pa.table({"a": pa.array([i for i, _ in rows], pa.int64()), "b": pa.array([pivot] * len(rows), pa.int64()), "similarity": pa.array([s for _, s in rows], pa.float64())})
 
     return dealt.groupBy("pivot", "part").applyInArrow(compare, _LINKS)
@@ -201,64 +207,93 @@ def _across(left: DataFrame, texts: DataFrame, threshold: float, size: int, grou
     meet = materialize(one.join(two, "bucket").where("one <= two and (owner_one <> owner_two or owner_one = '')").select("bucket", "one", "two"), "near-meet")
     first = dealt.join(meet, [dealt.bucket == meet.bucket, dealt.tile == meet.one]).select(meet.bucket, "one", "two", "member", "part", F.lit(False).alias("side"))
     second = dealt.join(meet.where("one <> two"), [dealt.bucket == meet.bucket, dealt.tile == meet.two]).select(meet.bucket, "one", "two", "member", "part", F.lit(True).alias("side"))
-    roles = materialize(first.union(second).withColumnRenamed("member", "doc_id"), "near-roles")
+    roles = materialize(first.union(second).withColumnRenamed("member", "key"), "near-roles")
 
     def compare(batch: pa.Table) -> pa.Table:
         parts = batch.column("part").to_pylist()
         rows = []
         if len(set(parts)) > 1:
-            sets = [shingle_copies(t.as_py(), size) for t in batch.column("text")]
-            rows = spanning_links(batch.column("doc_id").to_pylist(), parts, batch.column("side").to_pylist(), sets, threshold)
+            sets = list(map(shingle_copies, shingle_lists(batch.column("text").combine_chunks(), size)))
+            rows = spanning_links(batch.column("key").to_pylist(), parts, batch.column("side").to_pylist(), sets, threshold)
         return pa.table({"a": pa.array([a for a, _, _ in rows], pa.int64()), "b": pa.array([b for _, b, _ in rows], pa.int64()), "similarity": pa.array([s for _, _, s in rows], pa.float64())})
 
-    return roles.join(texts, "doc_id").groupBy("bucket", "one", "two").applyInArrow(compare, _LINKS)
+    return roles.join(texts, "key").groupBy("bucket", "one", "two").applyInArrow(compare, _LINKS)
 
 
 def near_links(docs: DataFrame, distinct: DataFrame, *, threshold: float, size: int) -> DataFrame | None:
-    """Verified links (a, b, similarity) among distinct texts (doc_id, bands); None if no band is shared.
+    """Verified links (a, b, similarity) among the keys of distinct texts (key, doc_id, text_hash, bands); None if no band is shared.
 
-    In each shared bucket the smallest id is compared with every other. In buckets whose texts these links have not joined
+    In each shared bucket the smallest key is compared with every other. In buckets whose texts these links have not joined
     to one component, every two texts of different components are then compared, so no two texts at the threshold that share
     a bucket stay apart. A bucket of n texts in k components thus costs up to some n x n x (1 - 1/k) / 2 comparisons."""
-    rows = distinct.select("doc_id", F.explode("bands").alias("bucket"))
+    rows = distinct.select("key", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    left = materialize(rows.join(materialize(shared, "near-shared"), "bucket").select("bucket", F.col("doc_id").alias("member")), "near-buckets")
-    texts = materialize(docs.join(left.select(F.col("member").alias("doc_id")).distinct(), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"]), "near-texts")
+    left = materialize(rows.join(materialize(shared, "near-shared"), "bucket").select("bucket", F.col("key").alias("member")), "near-buckets")
     pivots = materialize(left.groupBy("bucket").agg(F.min("member").alias("pivot")), "near-pivots")
     pairs = materialize(left.join(pivots, "bucket").where("member > pivot").select("member", "pivot").distinct(), "near-pairs")
     if pairs.isEmpty():
         return None
+    wanted = distinct.join(left.select(F.col("member").alias("key")).distinct(), "key").select("key", "doc_id", "text_hash")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = materialize(given.join(wanted, ["doc_id", "text_hash"]).select("key", "text").dropDuplicates(["key"]), "near-texts")
     links = materialize(_verified(pairs, texts, threshold, size), "near-links")
     parts = connected_components(links).select(F.col("id").alias("member"), F.col("class_id"))
     left = materialize(left.join(parts, "member", "left").select("bucket", "member", F.coalesce("class_id", "member").alias("part")), "near-buckets")
     return links.unionByName(materialize(_across(left, texts, threshold, size), "near-links"))
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, n_bands: int = 32, rows: int = 5) -> DataFrame:
-    """(doc_id, class_id, keep) for each row of (doc_id, text): class_id is the smallest doc_id of its class.
-
-    Texts with equal words are one class without comparison; different ones are linked where their shingle multisets
-    have a Jaccard similarity of at least the threshold, and classes are the components of the links. A text without
-    words is alone in its class. doc_id is taken as the document's identity: rows that repeat it share its class, the
-    smallest one's. A null doc_id is alone, with a null class, and kept. A pair at the threshold shares no band with
-    probability (1 - threshold^rows)^n_bands, 3e-6 by default. An empty table gives no rows."""
+def _classes(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, n_bands: int = 32, rows: int = 5) -> DataFrame:
+    """(doc_id, text_hash, n, class_id, chosen) of each distinct doc_id and text: n rows have it, and the class's row is among the chosen."""
     sign = materialize(signed(docs, n_bands=n_bands, rows=rows, size=size), "signed")
-    first = materialize(sign.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first")), "near-first")
-    distinct = sign.where("bands is not null").join(first, (sign.doc_id == first["first"]) & (sign.digest == first.digest)).select("doc_id", "bands").dropDuplicates(["doc_id"])
+    per = materialize(sign.groupBy("doc_id", "text_hash", "key").agg(F.count("*").alias("n")), "near-rows")
+    first = materialize(per.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select("key", "f.*"), "near-first")
+    distinct = sign.where("bands is not null").join(first, ["key", "doc_id", "text_hash"]).select("key", "doc_id", "text_hash", "bands").dropDuplicates(["key"])
     links = near_links(only(docs, "doc_id", "text"), distinct, threshold=threshold, size=size)
-    if links is not None:
+    best = F.struct("doc_id", "text_hash")
+    if links is None:
+        classes = first.select("key", best.alias("best"))
+    else:
         parts = connected_components(links)
-        first = materialize(first.join(parts, F.col("first") == F.col("id"), "left").select("digest", F.coalesce("class_id", "first").alias("first")), "near-classes")
-    joined = sign.select("doc_id", "digest").join(first, "digest", "left")
-    of = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
-    return joined.select("doc_id", of.alias("class_id"), F.coalesce(F.col("doc_id") == of, F.lit(True)).alias("keep"))
+        of = materialize(first.join(parts, F.col("key") == F.col("id"), "left").select("key", best.alias("own"), F.coalesce("class_id", "key").alias("part")), "near-parts")
+        # a class's least row, where a large class is first summed by task
+        least = of.groupBy("part").agg(F.min("own").alias("best"))
+        classes = of.join(materialize(least, "near-least"), "part").select("key", "best")
+    joined = per.join(materialize(classes, "near-classes"), "key", "left")
+    alone = F.col("best").isNull()
+    return joined.select(
+        "doc_id", "text_hash", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("best.doc_id", "doc_id")).alias("class_id"),
+        (alone | F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))).alias("chosen"), (~alone & F.col("doc_id").isNotNull()).alias("grouped"),
+    )
+
+
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """(doc_id, class_id, keep) for each row of (doc_id, text): class_id is the smallest doc_id of its class.
+
+    Texts with equal words are one class without comparison; different ones are linked where their shingle multisets
+    have a Jaccard similarity of at least the threshold, and classes are the components of the links. One row of each
+    class has keep. A text without words is alone in its class. Rows that repeat a doc_id with another text are judged by
+    their own text, so one doc_id can be in several classes; equal rows are copies like any. A null doc_id is alone, with
+    a null class, and kept. An empty table gives no rows.
+
+    Parameters: threshold 0.8, size 5 (words a shingle), n_bands 32 of `rows` 5 values. A pair at the threshold shares no
+    band with probability (1 - threshold^rows)^n_bands, 3e-6 by default."""
+    rows = _classes(docs, **parameters)
+    return rows.select("doc_id", "class_id", "chosen", "grouped", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nr")).select("doc_id", "class_id", (F.col("chosen") & ((F.col("nr") == 1) | ~F.col("grouped"))).alias("keep"))
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that near_duplicates keeps: one document of each class, with the columns of docs."""
-    dropped = near_duplicates(docs, **parameters).where("not keep").select("doc_id").distinct()
-    return docs.join(materialize(dropped, "near-dropped"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that near_duplicates keeps: one document of each class, with the columns of docs, whatever they are named."""
+    doc_id, hashed, n = fresh(docs, "doc_id", "text_hash", "n")
+    rows = materialize(_classes(docs, **parameters).where("not chosen or (grouped and n > 1)").select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(hashed), F.when(F.col("chosen"), F.col("n")).alias(n)), "near-dropped")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    same = (F.col("doc_id").cast("long") == F.col(f"`{doc_id}`")) & (text_hash("text") == F.col(f"`{hashed}`"))
+    kept = docs.join(rows, same, "left_anti").select(*columns)
+    repeated = rows.where(F.col(f"`{n}`").isNotNull())
+    if repeated.isEmpty():
+        return kept
+    return kept.union(docs.join(repeated, same).dropDuplicates([doc_id, hashed]).select(*columns))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of `documents` with its default parameters: doc_id, class_id, keep of every row."""
     return near_duplicates(only(table(spark, sf_dir, "documents"), "doc_id", "text"))

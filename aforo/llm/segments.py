@@ -7,6 +7,10 @@ pieces has a word-start mark behind another character, a lone space between two
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _MARK = "▁"
 _SPACES = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -42,13 +46,22 @@ class BoundedCache(dict):
             self.chars = 0
 
 
-def byte_batches(texts: list[str], max_chars: int = 2_000_000):
-    """Consecutive (start, stop) ranges of about equal total length; a longer text has a range of its own."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > max_chars:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def byte_batches(sizes: Iterable[int], max_bytes: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Consecutive (start, stop) ranges of texts of these sizes with about equal sums; a larger text has a range of its own."""
+    start = held = stop = 0
+    for stop, size in enumerate(sizes, 1):
+        if held and held + size > max_bytes:
+            yield start, stop - 1
+            start, held = stop - 1, 0
+        held += size
+    if start < stop:
+        yield start, stop
+
+
+def utf8_sizes(texts: list[str]) -> list[int]:
+    return [len(t) if t.isascii() else len(t.encode()) for t in texts]
+
+
+def text_batches(texts: pa.Array, max_bytes: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """byte_batches of the texts' UTF-8 lengths."""
+    yield from byte_batches(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), max_bytes)

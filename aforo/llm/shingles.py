@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,31 +21,55 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(text: str) -> list[str]:
-    """Lower-cased runs without white space."""
-    return text.lower().split()
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(words of each text, all words in order): lower-cased runs without white space. A null text has none."""
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, ""))))
+    n, flat = np.diff(np.asarray(lists.offsets)).astype(np.int64), lists.flatten()
+    empty = np.asarray(pc.equal(flat, ""))  # an empty text gives one
+    if empty.any():
+        n -= np.bincount(np.repeat(np.arange(len(n)), n)[empty], minlength=len(n))
+        flat = flat.filter(pa.array(~empty))
+    return n, flat
 
 
-def word_hashes(tokens: list[str]) -> np.ndarray:
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word; each distinct word is hashed once, and a worker remembers some of them."""
     import xxhash
 
+    coded = words.dictionary_encode()
+    own = coded.dictionary.to_pylist()
     if len(_hashes) > 600_000:
         _hashes.clear()
-    for w in set(tokens).difference(_hashes):
+    for w in set(own).difference(_hashes):
         _hashes[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
-
-
-def shingle_hashes(text: str, size: int = 5) -> np.ndarray:
-    """A hash for each run of `size` words, in order; a shorter text that has words is one shingle."""
-    h = word_hashes(words(text))
-    if not len(h):
-        return h
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):  # a polynomial in the words' hashes, spread once
-        out = out * _STEP + h[k : len(h) - n + 1 + k]
-    return mixed(out)
+    return np.fromiter(map(_hashes.__getitem__, own), np.uint64, len(own))[np.asarray(coded.indices)]
+
+
+def shingles_of(n: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of each text, all shingle hashes in order) from the words of each text and the words' hashes.
+
+    A shingle is a run of `size` words; a shorter text that has words is one shingle."""
+    ends = np.cumsum(n)
+    m = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+    first = np.repeat(ends - n - (np.cumsum(m) - m), m) + np.arange(m.sum())
+    length = np.repeat(np.minimum(n, size), m)
+    out = length.astype(np.uint64)
+    short = length < size
+    for k in range(size):  # a polynomial in the words' hashes, spread once
+        step = out * _STEP + h[np.minimum(first + k, len(h) - 1)] if len(h) else out
+        out = np.where(short & (k >= length), out, step) if short.any() else step
+    return m, mixed(out)
+
+
+def shingle_hashes(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of each text, all shingle hashes in order) of the texts."""
+    n, words = split_words(texts)
+    return shingles_of(n, word_hashes(words), size)
+
+
+def slices(n: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+    """The values of each text."""
+    return np.split(values, np.cumsum(n)[:-1]) if len(n) else []
 
 
 def connected_components(links: DataFrame) -> DataFrame:

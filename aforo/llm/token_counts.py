@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import only, table
-from .segments import BoundedCache, byte_batches, split_at_spaces
+from .segments import BoundedCache, byte_batches, split_at_spaces, utf8_sizes
 
 _models: dict[str, tuple[object, BoundedCache, bool]] = {}
 
@@ -39,9 +39,9 @@ def count_tokens(texts: list[str], model_path: str) -> list[int]:
     """Tokens of each text as the library gives them for the whole text."""
     model, cache, safe = _model(model_path)
     if not safe:
-        return [len(x) for a, b in byte_batches(texts) for x in model.encode(texts[a:b], num_threads=1)]
+        return [len(x) for a, b in byte_batches(utf8_sizes(texts)) for x in model.encode(texts[a:b], num_threads=1)]
     out: list[int] = []
-    for a, b in byte_batches(texts):
+    for a, b in byte_batches(utf8_sizes(texts)):
         parts = [split_at_spaces(t) if t else [] for t in texts[a:b]]
         new = [x for x in set().union(*parts) if x not in cache]
         cache.add(new, list(map(len, model.encode(new, num_threads=1))))

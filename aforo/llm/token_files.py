@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, only, open_output, read_bytes, scratch_path, table
-from .segments import BoundedCache, byte_batches, split_at_spaces
+from .segments import BoundedCache, byte_batches, split_at_spaces, utf8_sizes
 
 MAGIC, BLOCK = b"PFB1", 512
 _HEAD = struct.Struct("<4sIQII")
@@ -169,7 +169,7 @@ def _tokenizer(path: str):
 
 
 def _encoded(tokenizer, texts: list[str]) -> list[bytes]:
-    return [np.array(x.ids, "<u4").tobytes() for a, b in byte_batches(texts, 500_000) for x in tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+    return [np.array(x.ids, "<u4").tobytes() for a, b in byte_batches(utf8_sizes(texts), 500_000) for x in tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
 
 
 def _encoded_words(tokenizer, starts: np.ndarray, words: list[str], run: int = 128) -> list[bytes]:
@@ -213,7 +213,7 @@ def encode_texts(texts: list[str], path: str, end_id: int) -> Iterator[bytes]:
     Texts are cut at lone spaces, where the byte-level pre-tokenizer always starts a new word."""
     tokenizer, starts, first, later = _tokenizer(path)
     end = struct.pack("<I", end_id)
-    for a, b in byte_batches(texts):
+    for a, b in byte_batches(utf8_sizes(texts)):
         parts = [split_at_spaces(t) for t in texts[a:b]]
         heads = [p[0] for p in parts]
         for p in parts:
