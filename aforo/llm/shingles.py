@@ -38,7 +38,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
 
     coded = words.dictionary_encode()
     own = coded.dictionary.to_pylist()
-    if len(_hashes) > 600_000:
+    if len(_hashes) > 250_000:
         _hashes.clear()
     for w in set(own).difference(_hashes):
         _hashes[w] = xxhash.xxh64_intdigest(w)
