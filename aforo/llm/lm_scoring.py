@@ -177,7 +177,9 @@ def _joined(batch: pa.Table) -> pa.Table:
 
 
 def counted(blocks: DataFrame, order: int, buckets: int, min_count: int) -> DataFrame:
-    """(block, n, bucket, counts): the corpus counts of each block's n-grams, in the order of their hashes."""
+    """(block, n, bucket, counts): the corpus counts of each block's n-grams, in the order of their hashes.
+
+    There are thrice as many partitions as keys, so that few tasks get more than one or two."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +198,10 @@ def counted(blocks: DataFrame, order: int, buckets: int, min_count: int) -> Data
 
     listed = blocks.select("block", "path")
     spread = listed.repartition(max(1, blocks.count()), "block")
-    answers = materialize(spread.mapInArrow(first, _GRAMS).groupBy("n", "bucket").applyInArrow(_joined, _ANSWERS), "lm-counts")
+    answers = materialize(spread.mapInArrow(first, _GRAMS).repartition(6 * buckets, "n", "bucket").groupBy("n", "bucket").applyInArrow(_joined, _ANSWERS), "lm-counts")
     for n in range(3, order + 1):
         grams = listed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(longer(n), _GRAMS)
-        answers = answers.unionByName(materialize(grams.groupBy("n", "bucket").applyInArrow(_joined, _ANSWERS), "lm-counts"))
+        answers = answers.unionByName(materialize(grams.repartition(3 * buckets, "n", "bucket").groupBy("n", "bucket").applyInArrow(_joined, _ANSWERS), "lm-counts"))
     return answers
 
 
