@@ -1,8 +1,9 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
 The training texts are indexed in shards of whole documents: a shard has, for each term, the ascending positions of its
-tokens. Test phrases go to every shard, in blocks of bounded size; there the offset-adjusted lists of a phrase's terms are
-intersected from its rarest term. Postings are never regrouped by term across shards, so a frequent term is no hot key.
+tokens. Test phrases are a table, too; each goes, by its rarest term in the corpus, to the shards that have this term. There the
+offset-adjusted lists of its terms are intersected. Postings are never regrouped by term across shards, so a frequent term is no
+hot key, and nothing of either side passes through the driver.
 """
 
 from __future__ import annotations
@@ -116,25 +117,19 @@ def indexed_documents(index: DataFrame) -> DataFrame:
 
 
 class Phrases:
-    """The distinct phrases of a block of test items, and for proximity the items' terms."""
+    """The phrases and the proximity sets of terms that one shard is asked for."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, near_terms: int):
+    def __init__(self, phrases: list[tuple[list[bytes], list[str]]], near: list[tuple[list[bytes], list[str]]]):
         self.terms: dict[bytes, int] = {}
-        phrases: dict[tuple[bytes, ...], set[int]] = {}
-        self.items = [i for i, _ in items]
-        self.near_terms = near_terms
-        self.of_item = []
-        for number, (_, words) in enumerate(items):
-            for at in range(max(1, len(words) - window + 1) if words else 0):
-                phrases.setdefault(tuple(words[at : at + window]), set()).add(number)
+        for words, _ in phrases + near:
             for w in words:
                 self.terms.setdefault(w, len(self.terms))
-            self.of_item.append(np.array(sorted({self.terms[w] for w in words}), np.int64))
-        self.length = np.array([len(p) for p in phrases], np.int64)
-        self.codes = np.full((len(phrases), window), -1, np.int64)
-        for row, p in enumerate(phrases):
+        self.length = np.array([len(p) for p, _ in phrases], np.int64)
+        self.codes = np.full((len(phrases), int(self.length.max(initial=0))), -1, np.int64)
+        for row, (p, _) in enumerate(phrases):
             self.codes[row, : len(p)] = [self.terms[w] for w in p]
-        self.owners = [sorted(x) for x in phrases.values()]
+        self.owners = [items for _, items in phrases]
+        self.near = [([self.terms[w] for w in words], items) for words, items in near]
 
 
 def _lists(terms: list[bytes], postings: list[bytes], wanted: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,22 +172,20 @@ def intersect(phrases: Phrases, counts: np.ndarray, keys: np.ndarray) -> tuple[n
     return phrase, position
 
 
-def neighbours(phrases: Phrases, counts: np.ndarray, keys: np.ndarray, span: int) -> list[tuple[int, np.ndarray]]:
-    """For each item the positions of its rarest term within `span` words of which all its near_terms rarest terms lie."""
+def neighbours(phrases: Phrases, counts: np.ndarray, keys: np.ndarray, starts: np.ndarray, span: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(items, positions) of each proximity set: where its first term has each other one within `span` words in the same document."""
     begins = np.concatenate([[0], np.cumsum(counts)])
-    found = []
-    for number, codes in enumerate(phrases.of_item):
-        rare = codes[np.argsort(counts[codes], kind="stable")][: phrases.near_terms]
-        if len(rare) < phrases.near_terms or not counts[rare].all():
-            continue
-        at = keys[begins[rare[0]] : begins[rare[0] + 1]] & 0xFFFFFFFF
-        for c in rare[1:]:
+    for codes, items in phrases.near:
+        at = keys[begins[codes[0]] : begins[codes[0] + 1]] & 0xFFFFFFFF
+        for c in codes[1:]:
             own = keys[begins[c] : begins[c + 1]] & 0xFFFFFFFF
+            if not len(own):
+                at = at[:0]
+                break
             left = np.searchsorted(own, at - span)
             at = at[(left < len(own)) & (own[np.minimum(left, len(own) - 1)] <= at + span)]
         if len(at):
-            found.append((number, at))
-    return found
+            yield items, at
 
 
 _MATCHES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ordinal", T.LongType()), T.StructField("item", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType())))])
@@ -206,64 +199,95 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     return np.stack([starts[new], ends[last]], axis=1).tolist()
 
 
-def _block_matches(index: DataFrame, phrases: Phrases, span: int) -> DataFrame:
-    spark = index.sparkSession
-    sent = spark.sparkContext.broadcast(phrases)
-    wanted = spark.createDataFrame([(bytearray(t),) for t in phrases.terms], "term binary")
-    # the block's terms are bounded by its bytes, so this side is too
-    lists = index.where("kind = 'term'").select("shard", "term", "postings").join(F.broadcast(wanted), "term", "left_semi").withColumn("kind", F.lit("term"))
+_WINDOWS = T.StructType([T.StructField("item", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("terms", T.ArrayType(T.BinaryType()))])
+
+
+def item_terms(items: DataFrame, window: int) -> DataFrame:
+    """(item, kind, terms): the windows of each item's words, and under kind `near` its distinct words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(_WINDOWS)
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words_of(text)
+                found = [{"item": item, "kind": "phrase", "terms": x} for x in {tuple(w[k : k + window]) for k in range(max(1, len(w) - window + 1) if w else 0)}]
+                yield pa.RecordBatch.from_pylist(found + [{"item": item, "kind": "near", "terms": sorted(set(w))}] * bool(w), schema=schema)
+
+    given = items.where("item_id is not null").select(F.col("item_id").cast("string"), F.coalesce(F.col("text"), F.lit("")))
+    return given.mapInArrow(cut, _WINDOWS)
+
+
+def asked(index: DataFrame, items: DataFrame, *, window: int, span: int, near_terms: int) -> DataFrame:
+    """(anchor, kind, terms, items): every phrase and proximity set that can occur, and its rarest term over the whole corpus.
+
+    A phrase with a term that the corpus lacks is left out; a proximity set has the item's near_terms rarest words of those
+    the corpus has, ties by the words' bytes, rarest first."""
+    cut = materialize(item_terms(items, window).where("kind = 'phrase'" if not span else "true"), "test-windows")
+    wanted = cut.select(F.explode("terms").alias("term")).distinct()
+    counts = materialize(index.where("kind = 'term'").join(wanted, "term").groupBy("term").agg(F.sum("n").alias("n")), "test-terms")
+    phrases = cut.where("kind = 'phrase'").groupBy("terms").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    each = phrases.select("terms", "items", F.explode("terms").alias("term")).join(counts, "term")
+    phrases = each.groupBy("terms").agg(F.count("*").alias("found"), F.min(F.struct("n", "term"))["term"].alias("anchor"), F.any_value("items").alias("items")).where(F.col("found") == F.size("terms"))
+    phrases = phrases.select("anchor", F.lit("phrase").alias("kind"), "terms", "items")
+    if not span:
+        return materialize(phrases, "test-phrases")
+    rare = cut.where("kind = 'near'").select("item", F.explode("terms").alias("term")).join(counts, "term").groupBy("item").agg(F.slice(F.array_sort(F.collect_set(F.struct("n", "term"))), 1, near_terms).alias("rare"))
+    sets = rare.where(F.size("rare") > 1).select(F.transform("rare", lambda x: x["term"]).alias("terms"), "item").groupBy("terms").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return materialize(phrases.unionByName(sets.select(F.col("terms")[0].alias("anchor"), F.lit("near").alias("kind"), "terms", "items")), "test-phrases")
+
+
+def matches(index: DataFrame, items: DataFrame, *, window: int = 10, span: int = 32, near_terms: int = 5) -> DataFrame:
+    """(doc_id, ordinal, item, kind, spans) for the items' phrases in the index.
+
+    kind `phrase`: an exact occurrence of `window` consecutive item words (of a shorter item, all its words); spans are the
+    merged word ranges [from, to). kind `near`: of the item's distinct words that occur in the corpus, the near_terms rarest,
+    or all if fewer but at least two: places of the rarest within `span` words of which each other one lies, in the same
+    document. Rarity is counted over the whole corpus, so a match does not depend on how it is sharded. ordinal tells rows
+    of equal doc_id apart. An item without an id or without words matches nothing. span 0 leaves proximity out; it must not exceed
+    the gap between documents."""
+    if not (0 <= span <= GAP and 0 < window <= GAP):
+        raise ValueError(f"window and span must lie within {GAP}")
+    queries = asked(index, items, window=window, span=span, near_terms=near_terms)
+    wanted = queries.select(F.explode("terms").alias("term")).distinct()
+    lists = index.where("kind = 'term'").select("shard", "term", "postings").join(wanted, "term", "left_semi").withColumn("kind", F.lit("term"))
     docs = index.where("kind = 'docs'").select("shard", F.lit(None).cast("binary").alias("term"), F.col("n_words").alias("postings"), F.lit("words").alias("kind"), "doc_ids", F.col("postings").alias("has"))
     both = lists.unionByName(docs, allowMissingColumns=True)
+    # an anchor's phrases go to a shard as one row: as many rows as the shard has anchors
+    anchored = queries.groupBy("anchor").agg(F.collect_list(F.struct("kind", "terms", "items")).alias("queries"))
+    there = index.where("kind = 'term'").select(F.col("shard").alias("to_shard"), F.col("term").alias("anchor"))
+    routed = there.join(anchored, "anchor").select("to_shard", "queries")
 
-    def search(batch: pa.Table) -> pa.Table:
+    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        p = sent.value
-        kinds = batch.column("kind").to_pylist()
+        sent = [q for row in right.column("queries").to_pylist() for q in row]
+        p = Phrases(*([(q["terms"], q["items"]) for q in sent if q["kind"] == kind] for kind in ("phrase", "near")))
+        kinds = left.column("kind").to_pylist()
         head = kinds.index("words")
-        n = np.frombuffer(batch.column("postings")[head].as_py(), np.uint32).astype(np.int64)
-        ids = np.frombuffer(batch.column("doc_ids")[head].as_py(), np.int64)
-        has = np.frombuffer(batch.column("has")[head].as_py(), np.uint8)
+        n = np.frombuffer(left.column("postings")[head].as_py(), np.uint32).astype(np.int64)
+        ids = np.frombuffer(left.column("doc_ids")[head].as_py(), np.int64)
+        has = np.frombuffer(left.column("has")[head].as_py(), np.uint8)
         starts = np.cumsum(n + GAP) - n - GAP
-        listed = batch.filter(pa.array([k == "term" for k in kinds]))
+        listed = left.filter(pa.array([k == "term" for k in kinds]))
         counts, keys = _lists(listed.column("term").to_pylist(), listed.column("postings").to_pylist(), p.terms)
         phrase, position = intersect(p, counts, keys)
-        hits: dict[tuple[int, int, str], list[tuple[int, int]]] = {}
+        hits: dict[tuple[int, str, str], list[tuple[int, int]]] = {}
         doc = np.searchsorted(starts, position, "right") - 1
         for d, x, a in zip(doc.tolist(), phrase.tolist(), (position - starts[doc]).tolist()):
             for item in p.owners[x]:
                 hits.setdefault((d, item, "phrase"), []).append((a, a + int(p.length[x])))
-        for item, at in neighbours(p, counts, keys, span) if span else []:
+        for owners, at in neighbours(p, counts, keys, starts, span) if span else ():
             doc = np.searchsorted(starts, at, "right") - 1
             for d, a in zip(doc.tolist(), (at - starts[doc]).tolist()):
-                hits.setdefault((d, item, "near"), []).append((max(0, a - span), min(int(n[d]), a + span + 1)))
-        base = batch.column("shard")[head].as_py() << 24
-        rows = [{"doc_id": int(ids[d]) if has[d] else None, "ordinal": base + d, "item": p.items[item], "kind": kind, "spans": _merged(*np.array(s).T)} for (d, item, kind), s in hits.items()]
+                for item in owners:
+                    hits.setdefault((d, item, "near"), []).append((max(0, a - span), min(int(n[d]), a + span + 1)))
+        base = left.column("shard")[head].as_py() << 24
+        rows = [{"doc_id": int(ids[d]) if has[d] else None, "ordinal": base + d, "item": item, "kind": kind, "spans": _merged(*np.array(s).T)} for (d, item, kind), s in hits.items()]
         return pa.Table.from_pylist(rows, schema=to_arrow_schema(_MATCHES))
 
-    return both.groupBy("shard").applyInArrow(search, _MATCHES)
-
-
-def matches(index: DataFrame, items: DataFrame, *, window: int = 10, span: int = 32, near_terms: int = 5, block_bytes: int = 8_000_000) -> DataFrame:
-    """(doc_id, ordinal, item, kind, spans) for the items' phrases in the index.
-
-    kind `phrase`: an exact occurrence of `window` consecutive item words (of a shorter item, all its words); spans are the
-    merged word ranges [from, to). kind `near`: the item's near_terms rarest terms within `span` words of each other's
-    rarest. ordinal tells rows of equal doc_id apart. Items (item_id, text) are read in blocks of at most block_bytes of
-    text by a hash of their text, so what is sent to the executors is bounded however many there are; a null or
-    word-less item matches nothing. span 0 leaves proximity out; it must not exceed the gap between documents."""
-    if not (0 <= span <= GAP and 0 < window <= GAP):
-        raise ValueError(f"window and span must lie within {GAP}")
-    given = items.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    total, most = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-2 * total // block_bytes))
-    found = None
-    for b in range(blocks):
-        part = given if blocks == 1 else given.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        rows = sorted(((r.item, words_of(r.text)) for r in part.toLocalIterator()), key=lambda r: (r[0] is not None, r))
-        one = _block_matches(index, Phrases([("" if i is None else i, w) for i, w in rows], window, near_terms), span)
-        found = one if found is None else found.unionByName(one)
-    return found
+    return both.groupBy("shard").cogroup(routed.groupBy("to_shard")).applyInArrow(search, _MATCHES)
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, span: int = 32, near_terms: int = 5) -> DataFrame:
@@ -271,7 +295,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, span:
 
     n_hit counts the words inside any phrase match, n_items the items with one, items_sha256 digests their ids as sorted
     strings; n_near the items with a proximity match. A null text has no words; rows that repeat a doc_id each give a
-    row; empty tables give no rows or no hits."""
+    row; items without an id or words match nothing; empty tables give no rows or no hits; other columns play no part."""
     index = build_index(docs)
     found = matches(index, items, window=window, span=span, near_terms=near_terms)
     per = found.groupBy("ordinal").agg(
@@ -291,5 +315,5 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, span:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(only(table(spark, sf_dir, "documents"), "doc_id", "text"), only(table(spark, sf_dir, "benchmark"), "item_id", "text"))
-    return found.drop("n_near")
+    """contamination of `documents` by the items of `benchmark`: windows of 10 words, and 5 terms within 32 words."""
+    return contamination(only(table(spark, sf_dir, "documents"), "doc_id", "text"), only(table(spark, sf_dir, "benchmark"), "item_id", "text"))

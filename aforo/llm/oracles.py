@@ -11,9 +11,14 @@ iw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[k : k + l
 dw AS (SELECT r, n, k, array_to_string(w[k : k + n - 1], ' ') AS phrase FROM d, (SELECT DISTINCT n FROM iw) l, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS k) x),
 hits AS (SELECT r, k, dw.n, item FROM dw JOIN iw ON dw.phrase = iw.phrase AND dw.n = iw.n),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hits) GROUP BY r),
+x AS (SELECT r, unnest(w) AS term, generate_subscripts(w, 1) AS k FROM d), c AS (SELECT term, count(*) AS n FROM x GROUP BY term),
+it AS (SELECT DISTINCT item, unnest(w) AS term FROM i), ch AS (SELECT item, term, row_number() OVER (PARTITION BY item ORDER BY n, encode(term)) AS rnk FROM it JOIN c USING (term) QUALIFY rnk <= 5),
+m AS (SELECT item, count(*) AS m FROM ch GROUP BY item HAVING count(*) > 1),
+nr AS (SELECT p.r, count(DISTINCT p.item) AS n_near FROM (SELECT x.r, x.k, ch.item, m.m FROM x JOIN ch ON x.term = ch.term AND ch.rnk = 1 JOIN m ON m.item = ch.item) p WHERE
+  (SELECT count(DISTINCT o.rnk) FROM ch o JOIN x y ON y.term = o.term WHERE o.item = p.item AND o.rnk > 1 AND y.r = p.r AND y.k BETWEEN p.k - 32 AND p.k + 32) = p.m - 1 GROUP BY p.r),
 t AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r) LEFT JOIN nr USING (r)"""
 
 OP9 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents), x AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS k FROM d),
 t AS (SELECT r, k, a, lag(a) OVER s AS b, lag(a, 2) OVER s AS c FROM x WINDOW s AS (PARTITION BY r ORDER BY k)), u AS (SELECT a, count(*) AS n FROM t GROUP BY a), v AS (SELECT b, a, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, a),

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 SPACE = r"[ \t-\r]+"
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -50,14 +50,14 @@ class Rule:
         return " and ".join(map(str, self.conditions))
 
 
-def with_statistics(df: DataFrame, text: Column) -> DataFrame:
-    """df with a struct column `_stats`: the base counts and the ratios that rules test.
+def with_statistics(df: DataFrame, text: Column, name: str = "_stats") -> DataFrame:
+    """df with a struct column of that name: the base counts and the ratios that rules test. df's columns may have any names.
 
     A null text is empty. Windows of three words are compared by a 64-bit hash within one text. Each array is a column of
     its own, so no lambda evaluates it again; sorting for repeated windows happens only where there are any."""
-    keep = [F.col(f"`{c}`") for c in df.columns]
+    keep = [F.col(f"c{i}") for i in range(len(df.columns))]  # under names that the steps below do not use
     t = F.coalesce(text, F.lit(""))
-    d = df.select(*keep, t.alias("_t"), F.array_remove(F.split(t, SPACE), "").alias("_w"), F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^ \t-\r]"))).alias("_l"))
+    d = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], t.alias("_t"), F.array_remove(F.split(t, SPACE), "").alias("_w"), F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^ \t-\r]"))).alias("_l"))
     size = F.size("_w")
     hashes = F.when(size >= 3, F.transform(F.slice("_w", F.lit(1), size - 2), lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2))))
     d = d.select(*keep, "_t", size.alias("_n"), hashes.alias("_h"), F.size("_l").alias("_nl"), (F.size("_l") - F.size(F.array_distinct("_l"))).alias("_dl"))
@@ -76,7 +76,7 @@ def with_statistics(df: DataFrame, text: Column) -> DataFrame:
         "base_failed": (F.col("_n") < 50) | (100 * F.col("_r") > 50 * F.col("_n")),
     }
     # as a generator's output: a filter on it must not move down and evaluate the arrays above once more for each lambda step
-    return d.select(*keep, F.explode(F.array(F.struct(*[v.alias(k) for k, v in stats.items()]))).alias("_stats"))
+    return d.select(*[k.alias(c) for k, c in zip(keep, df.columns)], F.explode(F.array(F.struct(*[v.alias(k) for k, v in stats.items()]))).alias(name))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
@@ -152,17 +152,18 @@ def learn(sample: DataFrame, *, max_rules: int = 12, max_conditions: int = 4, mi
     return rules
 
 
-def judged(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, min_precision: float = 0.95) -> DataFrame:
-    """docs with `_stats`, whose field `kept` is false where the text fails the base test or a learned rule holds.
+def judged(docs: DataFrame, labels: DataFrame, *, name: str = "_stats", max_rows: int = 20_000, min_precision: float = 0.95) -> DataFrame:
+    """docs with a struct column of that name, whose field `kept` is false where the text fails the base test or a learned rule holds.
 
     Learned from at most max_rows labelled rows that pass the base test; without labels of both kinds there are no
-    rules. Rows that repeat a doc_id are judged each by its own text; other columns of docs stay as they are."""
+    rules. A null text is empty and fails; rows that repeat a doc_id are judged each by its own text; other columns of docs
+    stay as they are; an empty table gives no rows."""
     sample = materialize(labelled_sample(docs, labels, max_rows), "quality-labelled")
     rules = learn(sample.where("not base_failed").drop("base_failed"), min_precision=min_precision)
-    rated = with_statistics(docs, F.col("text"))
+    rated = with_statistics(docs, F.col("text"), name)
     # the rules read the struct's fields by their own names
-    fields = {f: F.col(f"_stats.{f}") for f in (*FEATURES, "base_failed")}
-    return rated.withColumn("_stats", F.col("_stats").withField("kept", verdict(rules, fields)))
+    fields = {f: F.col(f"`{name}`.{f}") for f in (*FEATURES, "base_failed")}
+    return rated.withColumn(name, F.col(f"`{name}`").withField("kept", verdict(rules, fields)))
 
 
 def verdict(rules: list[Rule], fields: dict[str, Column]) -> Column:
@@ -175,9 +176,11 @@ def verdict(rules: list[Rule], fields: dict[str, Column]) -> Column:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
-    return judged(docs, labels, **parameters).where("_stats.kept").drop("_stats")
+    (name,) = fresh(docs, "_stats")
+    return judged(docs, labels, name=name, **parameters).where(F.col(f"`{name}`.kept")).drop(name)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts and the verdict of `judged` for every row of `documents`, learned from `labels`."""
     rated = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return rated.select("doc_id", *[F.col(f"_stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])

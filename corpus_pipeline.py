@@ -1,13 +1,15 @@
 """A corpus from raw documents to token files, each stage by one of the training-data operators.
 
-Every stage works on all rows that the one before kept; all but the last return the columns of documents."""
+Every stage works on all rows that the one before kept; all but the last return the columns of documents, whatever others
+there are and whatever they are named. Rows are told apart by doc_id and text, so a repeated or null doc_id does not let one row's fate
+decide another's. A null text has no words; an empty table gives an empty one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm.common import materialize, only, scratch_path, table
+from aforo.llm.common import fresh, materialize, only, scratch_path, table, text_hash
 from aforo.llm.decontamination import contamination
 from aforo.llm.mixing import mix, word_count
 from aforo.llm.near_dedup import keep_one
@@ -27,18 +29,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ten consecutive words of a benchmark item, or a whole shorter item, go."""
-    found = contamination(only(docs, "doc_id", "text"), only(table(spark, sf_dir, "benchmark"), "item_id", "text"), span=0)
-    hit = materialize(found.where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(*_columns(docs))
+    (key,) = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", text_hash("text")))
+    found = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), only(table(spark, sf_dir, "benchmark"), "item_id", "text"), span=0)
+    hit = materialize(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return keyed.join(hit, key, "left_anti").select(*_columns(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: a row a copy, none for those it leaves out. Rows with an equal
-    doc_id, which earlier stages do not leave, are taken alike."""
-    taken = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))).where("taken > 0 and size > 0")
-    copies = taken.groupBy(F.col("doc_id").alias("_of")).agg(F.max(F.expr("taken div size")).alias("_copies"))
-    repeated = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_of")))
-    return repeated.select(*_columns(docs), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    """Each document as often as the mix takes it: a row a copy, none for those it leaves out. Rows with equal doc_id, source
+    and text are mixed each; one of them then stands for all, as often as they are taken together."""
+    key, copies, n, nr = fresh(docs, "row_key", "copies", "n_rows", "copy_nr")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", text_hash("text")))
+    taken = mix(keyed.select(F.col(key).alias("doc_id"), "source", word_count(F.col("text")).alias("size")))
+    each = F.when(F.col("size") > 0, F.expr("taken div size"))
+    wanted = materialize(taken.groupBy(F.col("doc_id").alias(key)).agg(F.sum(each).alias(copies), F.count("*").alias(n)).where(F.col(copies) > 0), "mix-copies")
+    found = keyed.join(wanted, key)
+    rows = found
+    if not wanted.where(F.col(n) > 1).isEmpty():
+        rows = found.where(F.col(n) == 1).union(found.where(F.col(n) > 1).dropDuplicates([key]))
+    return rows.select(*_columns(docs), F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(nr)).drop(nr)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,3 +19,16 @@ def test_stages_keep_columns_and_write_every_document(spark):
     ordered = sorted(last, key=lambda r: r.start)
     assert [r.doc_id for r in ordered] == sorted(r.doc_id for r in last)
     assert all(a.start + a.n_tokens == b.start for a, b in zip(ordered, ordered[1:]))
+
+
+def test_stages_on_nulls_repeats_clashing_names_and_empty_tables(spark):
+    prose = [" ".join(f"w{(i * 37 + k * k) % 900}" for k in range(80)) for i in range(6)]
+    rows = [(i, t, "s", 1, 2, 3) for i, t in enumerate(prose)] + [(0, prose[0], "s", 1, 2, 3), (0, prose[5], "s", 1, 2, 3), (None, prose[1], None, 1, 2, 3), (9, None, None, 1, 2, 3), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row_key int, copies int, _stats int")
+    for name, stage in p.STAGES:
+        got = stage(spark, docs, SF)
+        if name != "token_files":
+            assert got.columns == docs.columns
+        n, found = got.count(), stage(spark, docs.limit(0), SF).count()
+        assert found == 0
+        assert {"quality": n == 9, "near_dedup": n == 9, "decontaminate": n == 11, "mixing": n >= 9, "token_files": n == 11}[name], (name, n)

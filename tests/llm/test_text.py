@@ -61,12 +61,48 @@ def test_phrases_and_neighbours(spark):
     assert dec.contamination(frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
-def test_blocks_of_items_change_nothing(spark):
+def test_matches_do_not_depend_on_the_partitions(spark):
     docs, passage = corpus()
-    items = spark.createDataFrame([(i, passage) for i in range(4)] + [(9, "one")], "item_id long, text string")
-    index = dec.build_index(frame(spark, docs).select("doc_id", "text"), shard_words=500)
-    found = [sorted((r.doc_id, r.item, r.kind, str(r.spans)) for r in dec.matches(index, items, block_bytes=b).collect()) for b in (8_000_000, 300)]
-    assert found[0] == found[1] and found[0]
+    docs += [(200, "zebra one two three quokka"), (201, "quokka " + "pad " * 40 + "zebra")]
+    short = " ".join(passage.split()[20:45])
+    items = spark.createDataFrame([(i, short) for i in range(4)] + [(9, "one"), (10, "quokka zebra absentword"), (11, "absentword"), (None, passage), (12, None)], "item_id long, text string")
+    found = []
+    for n in (1, 2, 7):
+        index = dec.build_index(frame(spark, docs).select("doc_id", "text").repartition(n), shard_words=500 * n)
+        found.append(sorted((str(r.doc_id), r.item, r.kind, str(r.spans)) for r in dec.matches(index, items).collect()))
+    assert found[0] == found[1] == found[2]
+    near = {(d, i) for d, i, kind, _ in found[0] if kind == "near"}
+    assert ("200", "10") in near and ("201", "10") not in near and not any(i in ("9", "11", "12") for _, i in near)
+    assert ("104", "0") in near and ("104", "0") in {(d, i) for d, i, kind, _ in found[0] if kind == "phrase"}
+
+
+def test_rows_that_repeat_a_doc_id_are_judged_by_their_text(spark):
+    a, b = prose(60), prose(60)
+    docs = spark.createDataFrame([(5, b, 1), (100, a, 2), (100, b, 3), (100, a, 4), (None, a, 5), (None, a, 6), (7, None, 7), (7, None, 8)], "doc_id long, text string, text_hash int")
+    got = Counter((r.doc_id, r.class_id, r.keep) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == {(5, 5, True): 1, (100, 100, True): 1, (100, 5, False): 1, (100, 100, False): 1, (None, None, True): 2, (7, 7, True): 2}
+    kept = near_dedup.keep_one(docs).collect()
+    assert len(kept) == 6 and Counter((r.doc_id, r.text) for r in kept) == {(5, b): 1, (100, a): 1, (None, a): 2, (7, None): 2}
+
+
+def test_all_near_pairs_of_a_corpus_share_a_class(spark):
+    rng = random.Random(8)
+    docs = []
+    for f in range(12):
+        base = [f"f{f}w{rng.randrange(90)}" for _ in range(rng.randint(30, 200))]
+        for k in range(12):
+            w = base[:]
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            docs.append((1000 - len(docs), " ".join(w)))
+    sets = {i: multiset(t) for i, t in docs}
+    of = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, docs)).collect()}
+    pairs = [(i, j) for i in sets for j in sets if i < j and near_dedup.multiset_jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(pairs) > 100 and all(of[i] == of[j] for i, j in pairs)
+    root = {i: i for i in sets}
+    for i, j in pairs:
+        root = {k: root[i] if v == root[j] else v for k, v in root.items()}
+    assert len(set(root.values())) == len(set(of.values()))
 
 
 def test_signatures_are_unbiased():
@@ -163,6 +199,29 @@ def test_shared_passages(spark):
     assert substring_dedup.shared_passages(frame(spark, [])).count() == 0
 
 
+def test_common_runs_are_all_found(spark):
+    rng = random.Random(9)
+    passages = [[f"p{k}q{i}" for i in range(rng.randint(50, 80))] for k in range(10)]
+    variant = passages[0][:]  # shares the middle, in a document that comes first, and is under the threshold
+    for k in (6, 14, len(variant) - 12, len(variant) - 4):
+        variant[k] = f"changed{k}"
+    docs = [(0, " ".join([*prose(40).split(), *variant, *prose(40).split()]))]
+    for i in range(1, 90):
+        p = passages[i % 10]
+        docs.append((i, " ".join([*prose(rng.randint(0, 90)).split(), *p, *prose(rng.randint(0, 90)).split()])))
+    docs += [(i, prose(150)) for i in range(100, 130)]
+    root = {i: i for i, _ in docs}
+    found = substring_dedup.shared_passages(frame(spark, docs)).collect()
+    for r in found:
+        assert r.doc_id > r.other_doc_id and r.end_word - r.start_word >= 50 and r.similarity >= 0.8
+        root = {k: root[r.doc_id] if v == root[r.other_doc_id] else v for k, v in root.items()}
+    for p in range(10):
+        assert len({root[i] for i in range(1, 90) if i % 10 == p}) == 1
+    assert not any(100 <= x < 130 for r in found for x in (r.doc_id, r.other_doc_id))
+    again = docs + [(3, docs[3][1]), (3, prose(80)), (None, docs[3][1])]
+    assert substring_dedup.shared_passages(frame(spark, again)).count() == len(found)
+
+
 def test_stupid_backoff(spark):
     docs, _ = corpus()
     got = Counter()
@@ -200,18 +259,18 @@ def test_statistics_and_learned_rules(spark):
         rows.append((i, " ".join(f"{w}###" for w in prose(80).split()) if bad else prose(80)))
         labels.append((i, 0 if bad else 1, 0))
     rows += [(1000, None), (1001, ""), (1002, "a b c " * 100), (1003, prose(60) + "\nsame line\n \nsame line"), (0, prose(70))]
-    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_words int")
+    docs = spark.createDataFrame([(i, t, 7, 8, 9) for i, t in rows], "doc_id long, text string, n_words int, _n int, _stats int")
     lab = spark.createDataFrame(labels + [(None, 1, 1)], "doc_id long, quality int, toxic int")
-    got = quality_rules.judged(docs, lab).select("doc_id", "text", "_stats.*").collect()
+    got = quality_rules.judged(docs, lab, name="found").select("doc_id", "text", "found.*").collect()
     assert len(got) == len(rows)
     for r in got:
         w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
         tri = Counter(zip(w, w[1:], w[2:]))
         covered = {k + j for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for j in range(3)}
         lines = [x for x in (r.text or "").split("\n") if x.strip()]
-        assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(covered), len(lines) - len(set(lines)))
+        assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines, r.n_symbols) == (len(w), sum(map(len, w)), len(covered), len(lines) - len(set(lines)), len(re.findall(r"[#*$%&|<>]", r.text or "")))
         assert r.kept == (not (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and r.n_symbols == 0)
     kept = quality_rules.keep_good(docs, lab)
-    assert kept.columns == ["doc_id", "text", "n_words"]
+    assert kept.columns == ["doc_id", "text", "n_words", "_n", "_stats"]
     assert quality_rules.keep_good(docs, lab.limit(0)).count() > kept.count()
-    assert quality_rules.judged(docs.limit(0), lab).count() == 0
+    assert quality_rules.judged(docs.limit(0), lab, name="found").count() == 0
