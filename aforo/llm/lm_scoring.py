@@ -210,7 +210,8 @@ def stupid_backoff(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, min_c
 
     Counts are over all rows. A word's score is count(n-gram) / count(its first n-1 words) for the longest n <= order whose
     count is at least min_count, times alpha for each order given up; a single word's is count / words of the corpus,
-    whatever its count. log_score sums natural logarithms; n_backoff counts words scored below the order that their
+    whatever its count. min_count is 2, as every n-gram of a document has its own count: with 1 no word is ever backed off
+    and a document's score says nothing of the others. log_score sums natural logarithms; n_backoff counts words scored below the order that their
     position allows. A null or empty text scores 0 with 0 words; repeated rows are counted and scored each; an empty table
     gives no rows. Hash buckets grow with the input, so a task gets a bounded part of the n-grams."""
     blocks = document_blocks(docs, scratch_path(docs.sparkSession, "lm-texts"), block_chars)
@@ -237,5 +238,6 @@ def stupid_backoff(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, min_c
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stupid_backoff of `documents` by a trigram model of all of them, log_score to four digits."""
     scored = stupid_backoff(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return scored.select("doc_id", "n_words", "n_backoff", F.round("log_score", 4).alias("log_score"))

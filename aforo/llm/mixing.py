@@ -121,5 +121,6 @@ def mix(sizes: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix of all `documents` with the default weights 5, 2, 1, sizes in words."""
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
     return mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))).select("doc_id", "size", "source_size", "target", "taken", "source")

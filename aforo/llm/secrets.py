@@ -8,8 +8,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +47,11 @@ def entropy(value: str) -> float:
 def opaque_spans(text: str, taken: list[tuple[int, int, int, str]], least: float) -> list[tuple[int, int, int, str]]:
     """Long tokens of letters and digits with high entropy that no base span overlaps: secrets only if their owners say so."""
     found = []
+    starts, reach = [a for a, _, _, _ in taken], [0, *accumulate((b for _, _, b, _ in taken), max)]
     for m in _OPAQUE.finditer(text):
         v = m[0]
-        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and entropy(v) >= least and not any(a < m.end() and m.start() < b for a, _, b, _ in taken):
+        # of the base spans that start before its end, the farthest reaches into it
+        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and reach[bisect_left(starts, m.end())] <= m.start() and entropy(v) >= least:
             found.append((m.start(), 3, m.end(), v))
     return found
 
@@ -113,5 +117,7 @@ def scan_secrets(docs: DataFrame, *, wide_owners: int = 3, wide_repositories: in
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_secrets of `documents`. The table names no owners, so a source stands in for the owner, and a source's documents in
+    one language for a repository of its."""
     docs = table(spark, sf_dir, "documents")
     return scan_secrets(docs.select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("repository"), F.col("source").alias("owner")))

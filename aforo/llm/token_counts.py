@@ -71,4 +71,5 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_counts of `documents` with the default model and limit."""
     return token_counts(only(table(spark, sf_dir, "documents"), "doc_id", "text"))

@@ -205,5 +205,6 @@ def read_warc(manifest: DataFrame) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record a row of `pages`, read back from the archives; payloads of 0 bytes revisit each other, too."""
     pages = only(table(spark, sf_dir, "pages"), "page_id", "url", "html")
     return read_warc(write_warc(pages, scratch_path(spark, "warc")))

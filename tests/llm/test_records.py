@@ -71,3 +71,26 @@ def test_mix_of_edge_rows(spark):
     again = mixing.mix(spark.createDataFrame(list(reversed(rows)), "doc_id long, source string, size long")).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, size long")).count() == 0
+
+
+def test_base_spans_against_a_plain_scan_and_many_tokens():
+    import hashlib
+    import random
+    import re
+    import time
+
+    rng = random.Random(4)
+    bits = ["password", "API_KEY", "token", "apikey", "'", '"', ":", "=", "  ", " ", "AKIA", "ABCDEF0123456789XYZ", "deadbeef00112233", "x", "ſecret", "\n", "abc/+_.=-", "AKIAAKIA", "zebra"]
+    for _ in range(400):
+        t = "".join(rng.choices(bits, k=30))
+        want = []
+        for m in re.finditer(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+            want += [(m.start(), 0, m.end())] * (len(m[2]) >= 12)
+        want += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+        assert [x[:3] for x in secrets.base_spans(t)] == sorted(want)
+    token = lambda i: hashlib.sha256(str(i).encode()).hexdigest().upper()
+    long = " ".join(f"password={token(i)[:20]} {token(-i)}" for i in range(20_000))
+    base = secrets.base_spans(long)
+    began = time.time()
+    assert len(secrets.opaque_spans(long, base, 3.0)) > 15_000 and time.time() - began < 20
