@@ -40,8 +40,8 @@ def _scan(spark: SparkSession, paths: list[str], encoding: str, separator: str,
 
 def scan_csv(spark: SparkSession, path: str, *, tag: bool = False) -> DataFrame:
     """One file, all columns text, NA tokens null. A missing path is Spark's error, a file without rows EmptyCsvError."""
-    found = dialects(spark, path).collect()
-    if not found or found[0].n_lineas < 2:
+    found = [r for r in dialects(spark, path).collect() if r.n_lineas > 1]
+    if not found:
         raise EmptyCsvError(f"El archivo CSV está vacío: {path}")
     return _scan(spark, [path], found[0].codificacion, found[0].separador, tag)
 
@@ -70,11 +70,12 @@ def scan_template(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]
 
 
 def write_dataset(df: DataFrame, path: str, *, format: str = "parquet") -> None:
-    """Parquet by year, so that splits by target year prune to two folders; or CSV for exchange."""
+    """Parquet by year, so that splits by target year prune to two folders; or CSV for exchange. Rebalanced, so a year with
+    most of the rows is written by several tasks."""
     if format == "csv":
         df.write.csv(path, header=True)
     else:
-        df.repartition("anio").write.partitionBy("anio").parquet(path)
+        df.hint("rebalance", "anio").write.partitionBy("anio").parquet(path)
 
 
 def scan_dataset(spark: SparkSession, path: str, *, format: str = "parquet", schema=None) -> DataFrame:
