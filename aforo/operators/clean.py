@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.indicators import days_in_month
 
+#: The characters that Unicode calls white space.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -21,13 +23,13 @@ def clean_text(c: Column) -> Column:
 
 def parse_number(c: Column) -> Column:
     """A plain decimal number; anything else, NaN and suffixed literals included, is null."""
-    t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    t = F.btrim(c, F.lit(WHITE))
     return F.when(t.rlike(NUMBER), t.try_cast("double"))
 
 
 def clean_measure(c: Column) -> Column:
     """Commas go, so '3,5' is 35; what does not parse, and what is negative, becomes 0."""
-    return F.greatest(F.coalesce(parse_number(F.regexp_replace(c, ",", "")), F.lit(0.0)), F.lit(0.0))
+    return F.greatest(F.coalesce(parse_number(F.replace(c, F.lit(","), F.lit(""))), F.lit(0.0)), F.lit(0.0))
 
 
 def drop_exact_copies(df: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ def target_year() -> Column:
     return F.substring("periodo_predicho", 1, 4).cast("int")
 
 
-
 def temporal_split(df: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
     """Rows whose target year lies before, and those within, the test year; later ones are in neither."""
     return df.where(target_year() < year), df.where(target_year() == year)
@@ -26,6 +25,13 @@ def check_split(train: DataFrame, test: DataFrame) -> None:
         raise ValueError("La partición temporal requiere las tres clases antes del año de prueba y datos dentro de él.")
 
 
+def check_targets(df: DataFrame) -> None:
+    """An error unless the classes are exactly the three known ones, with two rows or more each."""
+    found = {r.clase: r.n for r in df.groupBy(F.col(TARGET).alias("clase")).agg(F.count("*").alias("n")).collect()}
+    if set(found) != set(CLASSES) or min(found.values()) < 2:
+        raise ValueError(f"El objetivo debe tener las clases {sorted(CLASSES)} con al menos dos registros cada una: {found}")
+
+
 def with_split_year(df: DataFrame, year: DataFrame) -> DataFrame:
     """df with `parte` (train, test or null) by a one-row table with anio_prueba."""
     return df.crossJoin(F.broadcast(year)).withColumn("parte", F.when(target_year() < F.col("anio_prueba"), "train").when(target_year() == F.col("anio_prueba"), "test")).drop("anio_prueba")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,14 +16,22 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import support
 from ..functions.indicators import next_period, period
-from .evaluation import CLASSES, TARGET, class_weights, classification_metrics, confusion_counts, roc_auc_ovr
+from .evaluation import (
+    CLASSES, TARGET, baselines, check_split, check_targets, class_weights, classification_metrics, confusion_counts, confusion_matrix, model_selection, roc_auc_ovr, stratified_split, temporal_split,
+    with_split_year,
+)
+from .rollup import choose_test_year
 
 NUMERIC = [c for c in S.PREDICTORS if c not in S.CATEGORICAL]
 
 
 def scaling(df: DataFrame) -> DataFrame:
     """One row: mean and population deviation of each numeric predictor."""
-    return df.agg(*[x for c in NUMERIC for x in (F.avg(c).alias(f"{c}_media"), F.stddev_pop(c).alias(f"{c}_desv"))])
+    return df.agg(*_moments())
+
+
+def _moments() -> list[Column]:
+    return [x for c in NUMERIC for x in (F.avg(c).alias(f"{c}_media"), F.stddev_pop(c).alias(f"{c}_desv"))]
 
 
 def scaled(df: DataFrame, statistics: DataFrame) -> DataFrame:
@@ -72,8 +82,9 @@ def fit(train: DataFrame, name: str, **parameters) -> FittedModel:
     """The named classifier on class-balanced training rows; the statistics row is written into the plan once."""
     weights = class_weights(train).select(F.col("clase").alias("_c"), "peso")
     rows = train.join(F.broadcast(weights), F.col(TARGET) == F.col("_c")).drop("_c")
-    known = train.sparkSession.createDataFrame([scaling(train).first()])
-    total = float(train.count())
+    found = train.agg(*_moments(), F.count("*").alias("filas"))
+    row = found.first()
+    known, total = train.sparkSession.createDataFrame([row], found.schema).drop("filas"), float(row.filas)
     algorithm = classifiers(weight_sum=total, **parameters)[name]
     pipeline = Pipeline(stages=[*encoder(), algorithm]).fit(scaled(rows, known))
     return FittedModel(pipeline, known, name)
@@ -96,18 +107,73 @@ def feature_importance(model: FittedModel) -> DataFrame:
     return rows.groupBy("variable").agg(F.sum("importancia").alias("importancia"))
 
 
-def permutation_importance(model: FittedModel, test: DataFrame, columns: list[str], *, max_rows: int = 5000, seed: int = 42) -> DataFrame:
-    """(variable, importancia): the loss of macro F1 when a column's values are dealt anew among at most max_rows rows."""
-    h = F.xxhash64(F.lit(seed), *S.SERIES, "anio", "mes")
-    rows = test.withColumn("_h", h).orderBy("_h").limit(max_rows).drop("_h")
-    base = evaluated(model, rows).first().f1_macro
-    out = []
-    for c in columns:
-        order = Window.orderBy(F.xxhash64(F.lit(f"{seed}{c}"), *S.SERIES, "anio", "mes"))
-        left = rows.withColumn("_n", F.row_number().over(Window.orderBy(*S.SERIES, "anio", "mes"))).drop(c)
-        right = rows.select(F.row_number().over(order).alias("_n"), c)
-        out.append((c, float(base - evaluated(model, left.join(right, "_n").drop("_n").select(*test.columns)).first().f1_macro)))
-    return test.sparkSession.createDataFrame(out, "variable string, importancia double")
+def permutation_importance(model: FittedModel, test: DataFrame, columns: Sequence[str] = S.PREDICTORS, *, repeats: int = 5, max_rows: int = 5000, seed: int = 42) -> DataFrame:
+    """(variable, importancia): the mean loss of macro F1 when a column's values are dealt anew, `repeats` times, among at most
+    max_rows test rows (those of least hash). All variants are scored in one pass, columns x repeats x max_rows rows at most."""
+    at = [*S.SERIES, "anio", "mes"]
+    rows = test.orderBy(F.xxhash64(F.lit(seed), *at), *at).limit(max_rows).withColumn("_n", F.row_number().over(Window.orderBy(*at)))
+    variants = F.array(*[F.struct(F.lit(c).alias("variable"), F.lit(k).alias("vez")) for c in columns for k in range(repeats)])
+    each = rows.withColumn("_v", F.explode(variants))
+    deal = Window.partitionBy("_v").orderBy(F.xxhash64(F.lit(seed), "_v.variable", "_v.vez", "_n"), "_n")
+    donors = rows.select(F.col("_n").alias("_m"), F.struct(*columns).alias("_d"))
+    dealt = each.withColumn("_m", F.row_number().over(deal)).join(donors, "_m")
+    changed = dealt.withColumns({c: F.when(F.col("_v.variable") == c, F.col("_d")[c]).otherwise(F.col(c)) for c in columns})
+
+    def f1(df: DataFrame, key: Column) -> DataFrame:
+        return classification_metrics(confusion_counts(df.select(key.alias("modelo"), F.col(TARGET).cast("int").alias("y"), "yhat")))
+
+    base = f1(model.transform(rows), F.lit("")).select(F.col("f1_macro").alias("base"))
+    varied = f1(model.transform(changed), F.concat_ws("|", "_v.variable", "_v.vez"))
+    return varied.crossJoin(F.broadcast(base)).groupBy(F.substring_index("modelo", "|", 1).alias("variable")).agg(F.avg(F.col("base") - F.col("f1_macro")).alias("importancia"))
+
+
+def importance(model: FittedModel, test: DataFrame) -> DataFrame:
+    """(variable, importancia) as the classifier tells it, or by permutation where it tells none."""
+    return feature_importance(model) if hasattr(model.pipeline.stages[-1], "featureImportances") else permutation_importance(model, test)
+
+
+@dataclass
+class TrainingRun:
+    """What a training run finds: one row a model and evaluation in `metrics`, and so on; `final` is the winner fitted on all rows."""
+
+    year: int
+    complete: bool
+    metrics: DataFrame
+    baselines: DataFrame
+    confusion: DataFrame
+    selection: DataFrame
+    importance: DataFrame
+    final: FittedModel
+
+    def reports(self) -> dict[str, DataFrame]:
+        return {"metricas": self.metrics, "metricas_baseline": self.baselines, "matriz_confusion": self.confusion, "importancia": self.importance}
+
+
+def training_run(df: DataFrame, *, names: Sequence[str] | None = None, asked_year: int | None = None, **parameters) -> TrainingRun:
+    """Fits each classifier before the test year and on the random split, takes the best by macro F1 of the test year (the first
+    by name of equals), and fits it again on all rows.
+
+    df is read many times and should be a written table. Errors: a class missing or with one row, no complete or
+    asked year, a test year without rows. Metrics, at most a few rows a model, are the only rows that reach the driver."""
+    check_targets(df)
+    year, complete = choose_test_year(df, asked_year)
+    train, test = temporal_split(df, year)
+    check_split(train, test)
+    dealt = stratified_split(df)
+    rows, cells, models = [], [], {}
+    for name in names or classifiers():
+        models[name] = fit(train, name, **parameters)
+        other = fit(dealt.where("parte = 'train'").drop("parte"), name, **parameters)
+        for model, on, kind in ((models[name], test, "temporal"), (other, dealt.where("parte = 'test'").drop("parte"), "aleatorio")):
+            rows += evaluated(model, on, kind).collect()
+            scored = model.transform(on).select(F.lit(name).alias("modelo"), F.col(TARGET).cast("int").alias("y"), "yhat")
+            cells += confusion_matrix(scored).withColumn("evaluacion", F.lit(kind)).collect()
+    spark = df.sparkSession
+    metrics = spark.createDataFrame(rows)
+    baseline = spark.createDataFrame(classification_metrics(confusion_counts(baselines(train, test))).collect())
+    selection = model_selection(metrics.where("evaluacion = 'temporal'"), baseline)
+    best = selection.first().modelo
+    return TrainingRun(year, complete, metrics, baseline, spark.createDataFrame(cells), selection, importance(models[best], test), fit(df, best, **parameters))
 
 
 def top_variables(df: DataFrame, importance: DataFrame, limit: int = 5) -> Column:
@@ -142,8 +208,6 @@ def with_envelope(df: DataFrame) -> DataFrame:
 
 def training_summary(df: DataFrame, year: DataFrame, metrics: DataFrame, importance: DataFrame) -> DataFrame:
     """One nested row: rows of each part, years, class distribution, best metrics and the ten leading variables."""
-    from .evaluation import with_split_year
-
     parts = with_split_year(df, year).agg(F.count_if(F.col("parte") == "train").alias("registros_train"), F.count_if(F.col("parte") == "test").alias("registros_test"), F.sort_array(F.collect_set("anio")).alias("anios"))
     classes = df.groupBy("nivel_riesgo_siguiente_mes").count().agg(F.map_from_entries(F.collect_list(F.struct("nivel_riesgo_siguiente_mes", "count"))).alias("clases"))
     best = metrics.agg(F.max_by(F.struct(*metrics.columns), "f1_macro").alias("mejor"))

@@ -99,10 +99,12 @@ def score_rows(current: DataFrame, history: DataFrame, limit: int = 12) -> DataF
 
 
 def history_violations(current: DataFrame, history: DataFrame, limit: int = 12) -> DataFrame:
-    """(series, motivo): history not before the current month, with a repeated month, or longer than `limit` rows."""
+    """(series, motivo): history not before the current month, with a repeated month, or longer than `limit` rows,
+    or of a series that has no current row."""
     now = current.select(*S.SERIES, ordinal().alias("ahora"))
     past = history.select(*S.SERIES, ordinal().alias("ord"))
     late = past.join(now, S.SERIES).where("ord >= ahora").select(*S.SERIES, F.lit("posterior").alias("motivo"))
     twice = past.groupBy(*S.SERIES, "ord").count().where("count > 1").select(*S.SERIES, F.lit("duplicado").alias("motivo"))
     many = past.groupBy(*S.SERIES).count().where(F.col("count") > limit).select(*S.SERIES, F.lit("demasiados").alias("motivo"))
-    return late.unionByName(twice).unionByName(many).distinct()
+    foreign = past.join(now, S.SERIES, "left_anti").select(*S.SERIES, F.lit("ajena").alias("motivo"))
+    return late.unionByName(twice).unionByName(many).unionByName(foreign).distinct()

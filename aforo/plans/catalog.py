@@ -67,14 +67,16 @@ def dialect_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.dialects(spark, _written(spark, sf_dir) + "/*").groupBy("separador", "codificacion").agg(F.sum("n_lineas").alias("n_lineas"))
 
 
-@query("scan_csv")
+@query("scan_csv", over("raw", select="SELECT ANHO, count(*) AS n FROM raw GROUP BY ANHO"))
 def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delimited.scan_csv(spark, _written(spark, sf_dir) + "/a").groupBy("ANHO").agg(F.count("*").alias("n"))
+    folder = _written(spark, sf_dir)
+    both = delimited.scan_csv(spark, folder + "/a").select("ANHO").union(delimited.scan_csv(spark, folder + "/b").select("ANHO"))
+    return both.groupBy("ANHO").agg(F.count("*").alias("n"))
 
 
-@query("scan_csv_dir")
+@query("scan_csv_dir", over("raw", select="SELECT ANHO, count(*) AS n, count(NRO_TOTAL_CAMAS_DISPONIB) AS con_camas, count(*) AS con_archivo FROM raw GROUP BY ANHO"))
 def scan_csv_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delimited.scan_directory(spark, _written(spark, sf_dir) + "/*")[0].groupBy("ANHO").agg(F.count("*").alias("n"), F.count("NRO_TOTAL_CAMAS_DISPONIB").alias("con_camas"), F.count_distinct("ARCHIVO_ORIGEN").alias("archivos"))
+    return delimited.scan_directory(spark, _written(spark, sf_dir) + "/*")[0].groupBy("ANHO").agg(F.count("*").alias("n"), F.count("NRO_TOTAL_CAMAS_DISPONIB").alias("con_camas"), F.count("ARCHIVO_ORIGEN").alias("con_archivo"))
 
 
 @query("scan_dataset", over("fut", select="SELECT anio, count(*) AS n, min(codigo_ipress) AS primero FROM fut GROUP BY anio"))
@@ -85,21 +87,24 @@ def scan_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.scan_dataset(spark, path, schema=full.schema).groupBy("anio").agg(F.count("*").alias("n"), F.min("codigo_ipress").alias("primero"))
 
 
-@query("header_raw")
+_RAW_ALL = ", ".join([*S.RAW_KEYS, *S.RAW_MEASURES])
+
+
+@query("header_raw", over("raw", select=f"SELECT {_RAW_ALL} FROM raw"))
 def header_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = P.raw(spark, sf_dir)
     loose = raw.withColumnRenamed("NRO_TOTAL_CAMAS_DISPONIB", "dias  cama disponible").toDF(*[f" {c.lower()} " for c in raw.columns[:-3]], " dias  cama disponible ", *raw.columns[-2:])
     return headers.raw_header(loose).select(*S.RAW_KEYS, *S.RAW_MEASURES)
 
 
-@query("header_template")
+@query("header_template", over("tpl", select=f"SELECT fila, {', '.join(S.TEMPLATE_REQUIRED)} FROM tpl"))
 def header_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = {v: k for k, v in S.TEMPLATE_ALIASES.items()}
     t = P.template(spark, sf_dir)
     return headers.template_header(t.toDF(*[back.get(c, c).replace("_", " ").title() for c in t.columns]))[0].select("fila", *S.TEMPLATE_REQUIRED)
 
 
-@query("header_dups")
+@query("header_dups", over("tpl", select="SELECT fila, total_ingresos, anio AS ano, CAST(1 AS INTEGER) AS advertencias FROM tpl"))
 def header_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = P.template(spark, sf_dir).select("fila", "total_ingresos", F.col("total_egresos").alias("Ingresos"), F.col("anio").alias("AÑO"))
     df, warnings = headers.template_header(t)
@@ -113,9 +118,6 @@ def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "archivo string, formato string").groupBy("formato").agg(F.count("*").alias("n"))
 
 
-_RAW_ALL = ", ".join([*S.RAW_KEYS, *S.RAW_MEASURES])
-
-
 @query("rename", over("rol", select=f"SELECT {', '.join(f'{a} AS {b}' for a, b in S.PUBLIC_NAMES.items())} FROM rol"))
 def rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.public_names(_rolled(spark, sf_dir))
@@ -300,7 +302,8 @@ _PAST = "ord < 1997 * 12 AND ord >= 1996 * 12 - 2"
 _VIOLATIONS = """SELECT DISTINCT codigo_ipress, servicio_hospitalizacion, motivo FROM (
   SELECT h.codigo_ipress, h.servicio_hospitalizacion, 'posterior' AS motivo FROM h JOIN tmp c ON c.codigo_ipress = h.codigo_ipress AND c.servicio_hospitalizacion = h.servicio_hospitalizacion AND c.anio = 1996 AND c.mes = 12 WHERE h.ord >= c.ord
   UNION ALL SELECT codigo_ipress, servicio_hospitalizacion, 'duplicado' FROM h GROUP BY codigo_ipress, servicio_hospitalizacion, ord HAVING count(*) > 1
-  UNION ALL SELECT codigo_ipress, servicio_hospitalizacion, 'demasiados' FROM h GROUP BY codigo_ipress, servicio_hospitalizacion HAVING count(*) > 12)"""
+  UNION ALL SELECT codigo_ipress, servicio_hospitalizacion, 'demasiados' FROM h GROUP BY codigo_ipress, servicio_hospitalizacion HAVING count(*) > 12
+  UNION ALL SELECT codigo_ipress, servicio_hospitalizacion, 'ajena' FROM h WHERE NOT EXISTS (SELECT 1 FROM tmp c WHERE c.codigo_ipress = h.codigo_ipress AND c.servicio_hospitalizacion = h.servicio_hospitalizacion AND c.anio = 1996 AND c.mes = 12))"""
 
 
 @query("history_violations", over("tmp", select="SELECT 1").removesuffix("SELECT 1").rstrip() + f", h AS (SELECT codigo_ipress, servicio_hospitalizacion, ord FROM tmp WHERE {_PAST} UNION ALL SELECT codigo_ipress, servicio_hospitalizacion, ord FROM tmp WHERE {_PAST} AND mes = 5) " + _VIOLATIONS)
@@ -495,13 +498,30 @@ def score_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept in memory or on disk: the year, the majority class, the weights and the tests all read it."""
-    full = P.training(spark, sf_dir).persist()
+    """The training table with `parte`, for the models: the year, the weights, the fits and the tests all read what is written."""
+    return _with_year(_training_table(spark, sf_dir))
+
+
+def _training_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The training table with the history flag, in the named columns (all if none), as a written table."""
+    full = temporal.with_future_target(temporal.with_history_flag(temporal.with_temporal(P.labelled(spark, sf_dir))))
+    full = full.select(*columns) if columns else full
+    path = scratch(spark, "training")
+    full.write.parquet(path)
+    return spark.read.schema(full.schema).parquet(path)
+
+
+def _with_year(full: DataFrame) -> DataFrame:
     return evaluation.with_split_year(full, rollup.test_year(full))
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that baselines and counts read, with `parte`."""
+    return _with_year(_training_table(spark, sf_dir, "periodo_predicho", evaluation.TARGET, "nivel_riesgo_siguiente_mes", "nivel_riesgo_actual_codificado", "ocupacion_estimada"))
+
+
 def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _split(spark, sf_dir)
+    parts = _judged(spark, sf_dir)
     return evaluation.baselines(parts.where("parte = 'train'"), parts.where("parte = 'test'"))
 
 
@@ -512,7 +532,7 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("temporal_split", over("yr", select="SELECT CASE WHEN CAST(substr(periodo_predicho, 1, 4) AS INTEGER) < anio_prueba THEN 'train' WHEN CAST(substr(periodo_predicho, 1, 4) AS INTEGER) = anio_prueba THEN 'test' END AS parte, nivel_riesgo_siguiente_mes AS clase, count(*) AS n FROM fut, yr GROUP BY ALL"))
 def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.frequencies(_split(spark, sf_dir).withColumnRenamed("nivel_riesgo_siguiente_mes", "clase"), "parte", "clase")
+    return rollup.frequencies(_judged(spark, sf_dir).withColumnRenamed("nivel_riesgo_siguiente_mes", "clase"), "parte", "clase")
 
 
 _SIZES = "SELECT clase, n, CAST(piso + CASE WHEN row_number() OVER (ORDER BY exacto - piso DESC, clase) <= todos - sum(piso) OVER () THEN 1 ELSE 0 END AS BIGINT) AS n_test FROM (SELECT *, floor(exacto) AS piso FROM (SELECT clase, n, n * ceil(sum(n) OVER () * 0.2) / sum(n) OVER () AS exacto, ceil(sum(n) OVER () * 0.2) AS todos FROM (SELECT nivel_riesgo_siguiente_mes_codificado AS clase, count(*) AS n FROM fut GROUP BY 1)))"
@@ -535,12 +555,12 @@ def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("class_weights", over("yr", select="SELECT clase, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS peso FROM (SELECT nivel_riesgo_siguiente_mes_codificado AS clase, count(*) AS n FROM fut, yr WHERE CAST(substr(periodo_predicho, 1, 4) AS INTEGER) < anio_prueba GROUP BY 1)"))
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluation.class_weights(_split(spark, sf_dir).where("parte = 'train'")), "peso")
+    return _rounded(evaluation.class_weights(_judged(spark, sf_dir).where("parte = 'train'")), "peso")
 
 
 @query("majority_class", over("yr", select="SELECT nivel_riesgo_siguiente_mes_codificado AS clase, count(*) AS n FROM fut, yr WHERE CAST(substr(periodo_predicho, 1, 4) AS INTEGER) < anio_prueba GROUP BY 1 ORDER BY n DESC, clase LIMIT 1"))
 def majority_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.majority_class(_split(spark, sf_dir).where("parte = 'train'"))
+    return evaluation.majority_class(_judged(spark, sf_dir).where("parte = 'train'"))
 
 
 @query("confusion_matrix", over("cells", select="SELECT modelo, 'real_' || (['bajo', 'medio', 'alto'])[y + 1] AS real, CAST(sum(CASE WHEN yhat = 0 THEN n END) AS BIGINT) AS predicho_bajo, CAST(sum(CASE WHEN yhat = 1 THEN n END) AS BIGINT) AS predicho_medio, CAST(sum(CASE WHEN yhat = 2 THEN n END) AS BIGINT) AS predicho_alto FROM cells GROUP BY 1, 2"))
@@ -569,12 +589,53 @@ def roc_auc_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("baseline_metrics", over("rep", select=f"SELECT m.*, a.roc_auc_ovr_macro, 1.0::DOUBLE AS probabilidad_maxima_promedio FROM ({_METRICS}) m JOIN ({_AUC}) a USING (modelo)"))
 def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _baselines(spark, sf_dir)
+    return _baseline_metrics(_baselines(spark, sf_dir))
+
+
+def _baseline_metrics(b: DataFrame) -> DataFrame:
     hard = evaluation.hard_probabilities(b)
     sure = hard.groupBy("modelo").agg(F.avg(F.greatest("p0", "p1", "p2")).alias("probabilidad_maxima_promedio"))
     return _rounded(evaluation.classification_metrics(evaluation.confusion_counts(b)).join(evaluation.roc_auc_ovr(hard), "modelo").join(sure, "modelo"), *_METRIC_NAMES, "roc_auc_ovr_macro")
 
 
+@query("metric_files", over("rep", select=f"SELECT m.*, a.roc_auc_ovr_macro, 1.0::DOUBLE AS probabilidad_maxima_promedio FROM ({_METRICS}) m JOIN ({_AUC}) a USING (modelo)"))
+def metric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baselines' metrics and confusion matrices as report files; the metrics as read back."""
+    b, folder = _baselines(spark, sf_dir), scratch(spark, "reports")
+    metrics = _baseline_metrics(b)
+    delimited.write_reports({"metricas_baseline": metrics, "matriz_confusion": evaluation.confusion_matrix(b)}, folder)
+    return delimited.read_report(spark, folder, "metricas_baseline", metrics.schema)
+
+
+@query("dataset_csv", over("fut", select="SELECT codigo_ipress, servicio_hospitalizacion, anio, mes, periodo_predicho, nivel_riesgo_siguiente_mes FROM fut"))
+def dataset_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset as CSV with a byte-order mark, as read back."""
+    full = P.training(spark, sf_dir).select(*_ID, "periodo_predicho", "nivel_riesgo_siguiente_mes")
+    path = scratch(spark, "dataset-csv")
+    delimited.write_dataset(full, path, format="csv")
+    return delimited.scan_dataset(spark, path, format="csv", schema=full.schema)
+
+
+@query("metadata_json", over("fut", select="SELECT (SELECT count(*) FROM tmp) AS registros_antes, count(*) AS registros_despues, min(periodo_actual) AS primer_periodo, max(periodo_actual) AS ultimo_periodo, count(DISTINCT periodo_actual) AS n_periodos FROM fut"))
+def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset's metadata row as JSON, as read back."""
+    row = rollup.dataset_metadata(P.panel(spark, sf_dir), P.training(spark, sf_dir))
+    path = scratch(spark, "metadata")
+    delimited.write_metadata(row, path)
+    return delimited.read_metadata(spark, path, row.schema).select("registros_antes", "registros_despues", "primer_periodo", "ultimo_periodo", "n_periodos")
+
+
+_READ = {"codigo_ipress": "nullif(trim(codigo_ipress), '') AS codigo_ipress", "total_estancias": "nullif(total_estancias, 'nan') AS total_estancias"}
+
+
+@query("scan_template", over("tpl", select=f"SELECT fila, {', '.join(_READ.get(c, c) for c in S.TEMPLATE_REQUIRED)} FROM tpl"))
+def scan_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An uploaded template as a file, as scanned."""
+    path = scratch(spark, "template")
+    P.template(spark, sf_dir).write.csv(path, header=True, sep=";")
+    return delimited.scan_template(spark, path)[0].select("fila", *S.TEMPLATE_REQUIRED)
+
+
 _REPORT = """SELECT modelo, (['bajo', 'medio', 'alto'])[clase + 1] AS etiqueta, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(re AS BIGINT) AS soporte FROM rep
   UNION ALL SELECT modelo, 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(re) AS BIGINT) FROM rep GROUP BY 1
   UNION ALL SELECT modelo, 'weighted avg', round(sum(precision * re) / sum(re), 6), round(sum(recall * re) / sum(re), 6), round(sum(f1 * re) / sum(re), 6), CAST(sum(re) AS BIGINT) FROM rep GROUP BY 1"""
@@ -623,7 +684,7 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("score")
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, test = _trained(spark, sf_dir, "Random_Forest")
-    return learning.score(test.withColumn("historial_completo", F.lit(True)), model, learning.feature_importance(model))
+    return learning.score(test, model, learning.feature_importance(model))
 
 
 @query("training_summary", over("yr", select="SELECT count(*) FILTER (WHERE CAST(substr(periodo_predicho, 1, 4) AS INTEGER) < anio_prueba) AS registros_train, count(*) FILTER (WHERE CAST(substr(periodo_predicho, 1, 4) AS INTEGER) = anio_prueba) AS registros_test, max(anio_prueba) AS anio_prueba, count(*) FILTER (WHERE nivel_riesgo_siguiente_mes = 'alto') AS n_alto FROM fut, yr"))
@@ -632,3 +693,19 @@ def training_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = spark.createDataFrame([(c, 1.0) for c in S.PREDICTORS], "variable string, importancia double")
     s = learning.training_summary(full, rollup.test_year(full), classification_metrics(spark, sf_dir), ranked)
     return s.select("registros_train", "registros_test", "anio_prueba", F.col("clases")["alto"].alias("n_alto"))
+
+
+@query("permutation_importance")
+def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logistic model tells no importances: by permutation, on at most 5,000 test rows and five times a column."""
+    return learning.importance(*_trained(spark, sf_dir, "Regresion_Logistica"))
+
+
+@query("training_run")
+def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic regression and forest on both splits, the winner fitted again on all rows: its class and probabilities for every row."""
+    full = _training_table(spark, sf_dir)
+    run = learning.training_run(full, names=("Regresion_Logistica", "Random_Forest"))
+    folder = scratch(spark, "reports")
+    delimited.write_reports(run.reports(), folder)
+    return run.final.transform(full).select(*_ID, F.lit(run.final.name).alias("modelo"), "yhat", "p0", "p1", "p2")

@@ -7,7 +7,7 @@ from aforo.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-FAST = ["indicators", "risk_current", "future_target", "temporal_features", "clean_numeric", "validation_summary", "gap_score", "risk_factors", "classification_metrics", "duplicate_periods"]
+FAST = ["indicators", "risk_current", "future_target", "temporal_features", "clean_numeric", "validation_summary", "gap_score", "risk_factors", "classification_metrics", "duplicate_periods", "scan_csv", "scan_csv_dir", "scan_template", "header_template", "history_violations", "metric_files", "dataset_csv", "metadata_json"]
 
 
 def normal(df):
