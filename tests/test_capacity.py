@@ -191,3 +191,10 @@ def test_upsert_takes_the_latest(spark):
     old = spark.createDataFrame([("a", "2024-01", "x"), ("b", "2024-05", "y")], "indicador_id string, fecha string, nivel string")
     new = spark.createDataFrame([("a", "2024-01", "z"), ("b", "2024-02", "w")], "indicador_id string, fecha string, nivel string")
     assert {r.indicador_id: r.nivel for r in rollup.prediction_upsert(old, new).collect()} == {"a": "z", "b": "y"}
+
+
+def test_white_space_of_any_kind_is_trimmed_and_collapsed(spark):
+    values = ["a b", " a  b ", "　a  b\t", "a\x0bb ", "", "  ", None, "á\u0085é", "a\x1cb", "a\x7fb"]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string").select("k", clean.clean_text(F.col("v")).alias("t"), clean.parse_number(F.concat(F.lit(" "), F.lit("1.5"), F.lit("\t　"))).alias("n")).orderBy("k").collect()
+    assert [r.t for r in got] == ["A B", "A B", "A B", "A B", "", "", "", "Á É", "A\x1cB", "A\x7fB"]
+    assert {r.n for r in got} == {1.5}
