@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -29,19 +31,47 @@ def _finite(column: str):
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
+def exact_percentiles(df: DataFrame, value: Column, shares: Sequence[float], *by: str) -> DataFrame:
+    """(by..., n, p): how many values a group has and its percentiles, in the order of the shares, by linear interpolation.
+    Nulls do not count; a group without values has no row, but without `by` there is one row, with an empty p.
+
+    Equal values are counted first, on many tasks. Their counts are summed by logarithmic bins, 4096 to a power of e, of which
+    doubles fill at most some 6 million, whatever the data; running sums over these tell the one or two bins that hold a share's
+    rank, and only their values are ranked. So no task gets all values, and each is compared exactly."""
+    counts = df.select(*by, value.alias("v")).where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("bin", F.when(F.isnan("v"), F.lit(2**62)).otherwise(F.floor(F.signum("v") * F.log1p(F.abs("v")) * 4096)))
+    sums = counts.groupBy(*by, "bin").agg(F.sum("c").alias("c"))
+    sums = sums.withColumns({"before": F.sum("c").over(Window.partitionBy(*by).orderBy("bin")) - F.col("c"), "n": F.sum("c").over(Window.partitionBy(*by))})
+    asked = sums.select(*by, "bin", "before", "c", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(p)) * (F.col("n") - 1)).alias("rank")) for k, p in enumerate(shares)])).alias("at")).select(
+        *by, "bin", "before", "c", "n", "at.*", F.floor("at.rank").alias("low"), F.ceil("at.rank").alias("high")
+    )
+    holds = lambda r: (F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("c"))
+    asked = asked.where(holds("low") | holds("high")).drop("c")
+    near = counts.join(F.broadcast(asked), [*by, "bin"]).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*by, "k", "bin").orderBy("v")))
+    reach = lambda r: F.min(F.when(F.col("upto") > F.col(r), F.col("v"))).alias(f"v_{r}")
+    found = near.groupBy(*by, "k").agg(reach("low"), reach("high"), F.first("rank").alias("rank"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("n").alias("n"))
+    between = (F.col("high") - F.col("rank")) * F.col("v_low") + (F.col("rank") - F.col("low")) * F.col("v_high")
+    p = F.when(F.col("v_low") == F.col("v_high"), F.col("v_low")).otherwise(between)
+    return found.groupBy(*by).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.sort_array(F.collect_list(F.struct("k", p.alias("p")))).alias("p")).select(*by, "n", F.col("p.p").alias("p"))
+
+
 def pressure_percentiles(df: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """One row: P50 and P75 of the finite pressures by linear interpolation, and how many there are. The exact form
-    counts distinct values in one reducer; for unbounded ratios take exact=False."""
+    """One row: P50 and P75 of the finite pressures by linear interpolation, and how many there are; exact=False takes
+    approximate ones, in one pass."""
     v = _finite(PRESSURE)
-    both = F.percentile(v, [0.5, 0.75]) if exact else F.percentile_approx(v, [0.5, 0.75], accuracy)
-    return df.agg(both.alias("p"), F.count(v).alias("cantidad_valores_validos")).select(F.col("p")[0].alias("presion_ingresos_camas_percentil_50"), F.col("p")[1].alias("presion_ingresos_camas_percentil_75"), "cantidad_valores_validos")
+    if exact:
+        found = exact_percentiles(df, v, (0.5, 0.75)).withColumnRenamed("n", "cantidad_valores_validos")
+    else:
+        found = df.agg(F.percentile_approx(v, [0.5, 0.75], accuracy).alias("p"), F.count(v).alias("cantidad_valores_validos"))
+    return found.select(F.get("p", F.lit(0)).alias("presion_ingresos_camas_percentil_50"), F.get("p", F.lit(1)).alias("presion_ingresos_camas_percentil_75"), "cantidad_valores_validos")
 
 
 def describe_indicators(df: DataFrame, columns=("ocupacion_estimada", "ratio_camas_disponibles", PRESSURE)) -> DataFrame:
     """A row an indicator: count, mean, sample deviation, extremes and quartiles."""
     long = df.select(F.stack(F.lit(len(columns)), *[x for c in columns for x in (F.lit(c), F.col(c))]).alias("indicador", "valor"))
-    q = lambda p: F.percentile("valor", p)
-    return long.groupBy("indicador").agg(F.count("valor").alias("n"), F.avg("valor").alias("media"), F.stddev_samp("valor").alias("desviacion"), F.min("valor").alias("minimo"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max("valor").alias("maximo"))
+    sums = long.groupBy("indicador").agg(F.count("valor").alias("n"), F.avg("valor").alias("media"), F.stddev_samp("valor").alias("desviacion"), F.min("valor").alias("minimo"), F.max("valor").alias("maximo"))
+    quartiles = exact_percentiles(long, F.col("valor"), (0.25, 0.5, 0.75), "indicador").drop("n")
+    return sums.join(quartiles, "indicador", "left").select("indicador", "n", "media", "desviacion", "minimo", *[F.get("p", F.lit(k)).alias(c) for k, c in enumerate(("p25", "p50", "p75"))], "maximo")
 
 
 def anomaly_counts(df: DataFrame) -> DataFrame:

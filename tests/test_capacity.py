@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,20 @@ def test_white_space_of_any_kind_is_trimmed_and_collapsed(spark):
     got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string").select("k", clean.clean_text(F.col("v")).alias("t"), clean.parse_number(F.concat(F.lit(" "), F.lit("1.5"), F.lit("\t　"))).alias("n")).orderBy("k").collect()
     assert [r.t for r in got] == ["A B", "A B", "A B", "A B", "", "", "", "Á É", "A\x1cB", "A\x7fB"]
     assert {r.n for r in got} == {1.5}
+
+
+def test_exact_percentiles_equal_those_of_one_reducer(spark):
+    rng = np.random.default_rng(7)
+    inf, nan = float("inf"), float("nan")
+    rows = [("many", float(x)) for x in np.concatenate([rng.exponential(5, 500), rng.normal(0, 3, 500).round(1)])] + [("many", None), ("none", None), ("one", 2.5)]
+    rows += [("ends", x) for x in (1.0, 2.0, -1.0, -inf, inf)] + [("zero", x) for x in (1.0, nan, 3.0, 0.0, -0.0)]
+    df, shares = spark.createDataFrame(rows, "g string, v double"), [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    # values compare as numbers: the percentile function keeps the sign of a zero, grouping does not
+    got = {r.g: (r.n, r.p) for r in rollup.exact_percentiles(df, F.col("v"), shares, "g").collect()}
+    want = df.groupBy("g").agg(F.count("v").alias("n"), F.percentile("v", shares).alias("p")).where("n > 0").collect()
+    assert got.keys() == {r.g for r in want}
+    for r in want:
+        n, p = got[r.g]
+        assert n == r.n and p == pytest.approx(r.p, rel=0, abs=0, nan_ok=True)
+    (empty,) = rollup.exact_percentiles(df.where("false"), F.col("v"), shares).collect()
+    assert (empty.n, empty.p) == (0, [])
