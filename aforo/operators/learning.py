@@ -53,7 +53,7 @@ def classifiers(*, trees: int = 300, depth: int = 12, boosts: int = 300, boost_d
     boosted = GBTClassifier(maxIter=boosts, maxDepth=boost_depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, **common)
     return {
         "Regresion_Logistica": LogisticRegression(maxIter=iterations, family="multinomial", regParam=1.0 / max(weight_sum, 1.0), standardization=False, **common),
-        "Random_Forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42, featureSubsetStrategy="sqrt", **common),
+        "Random_Forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42, featureSubsetStrategy="sqrt", maxMemoryInMB=1024, **common),
         "Arboles_Potenciados": OneVsRest(classifier=boosted, featuresCol="features", labelCol=TARGET, weightCol="peso", parallelism=3),
     }
 
@@ -79,9 +79,16 @@ class FittedModel:
 
 
 def fit(train: DataFrame, name: str, **parameters) -> FittedModel:
-    """The named classifier on class-balanced training rows; the statistics row is written into the plan once."""
+    """The named classifier on class-balanced training rows; the statistics row is written into the plan once.
+
+    A small table comes in one partition, which one core would work through in each of the many passes: rows are spread over
+    all cores, those of a table with more partitions than cores stay where they are."""
     weights = class_weights(train).select(F.col("clase").alias("_c"), "peso")
-    rows = train.join(F.broadcast(weights), F.col(TARGET) == F.col("_c")).drop("_c")
+    narrow = train.select(*S.PREDICTORS, TARGET)
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    if narrow.rdd.getNumPartitions() < cores:
+        narrow = narrow.repartition(cores)
+    rows = narrow.join(F.broadcast(weights), F.col(TARGET) == F.col("_c")).drop("_c")
     found = train.agg(*_moments(), F.count("*").alias("filas"))
     row = found.first()
     known, total = train.sparkSession.createDataFrame([row], found.schema).drop("filas"), float(row.filas)
