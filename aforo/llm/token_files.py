@@ -11,7 +11,6 @@ to the exception list.
 
 from __future__ import annotations
 
-import gc
 import struct
 import uuid
 import zlib
@@ -262,24 +261,17 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer_path: str | Non
             keys, sizes, held, total, seq = [], [], [], 0, seq + 1
             return row
 
-        # encoding makes no cycles, while the collector walks the cache of parts again and again
-        collecting = gc.isenabled()
-        gc.disable()
-        try:
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for key, enc in zip(batch.column(0).to_pylist(), encode_texts(texts, path, end_id)):
-                    keys.append(key)
-                    sizes.append(len(enc) // 4)
-                    held.append(enc)
-                    total += len(enc) // 4
-                    if total >= ids_per_file:
-                        yield flush()
-            if keys:
-                yield flush()
-        finally:
-            if collecting:
-                gc.enable()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for key, enc in zip(batch.column(0).to_pylist(), encode_texts(texts, path, end_id)):
+                keys.append(key)
+                sizes.append(len(enc) // 4)
+                held.append(enc)
+                total += len(enc) // 4
+                if total >= ids_per_file:
+                    yield flush()
+        if keys:
+            yield flush()
 
     return materialize(ordered.mapInArrow(write, _MANIFEST), "token-manifest")
 
