@@ -18,6 +18,9 @@ _MODULES = {
     "op8_near_dedup": "near_dedup",
     "op9_lm_scores": "lm_scoring",
     "op10_quality_rules": "quality_rules",
+    "op11_vector_links": "vector_links",
+    "op12_merkle_manifest": "merkle",
+    "op13_periodic_runs": "periodic_runs",
 }
 
 
