@@ -187,7 +187,7 @@ _NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
 
 def _batch(kinds: dict, rows: dict) -> pa.RecordBatch:
     n = len(next(iter(rows.values())))
-    return pa.RecordBatch.from_arrays([pa.array(rows[c], kinds[c]) if c in rows else pa.nulls(n, kinds[c]) for c in _NAMES], names=_NAMES)
+    return pa.RecordBatch.from_arrays([(rows[c] if isinstance(rows[c], pa.Array) else pa.array(rows[c], kinds[c])) if c in rows else pa.nulls(n, kinds[c]) for c in _NAMES], names=_NAMES)
 
 
 _KINDS = {c.split()[0]: {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in _COLUMNS.split(", ")}
@@ -235,8 +235,8 @@ def _first_pass(tile_words: int, batch_bytes: int):
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]).astype(np.int32)), words)
         joined = pc.binary_join(lists, " ")
         digests = [None if o else hashlib.sha256(x.as_buffer()).hexdigest() for o, x in zip(opened.tolist(), joined)]
-        kept = pc.if_else(pa.array(opened), pc.fill_null(texts, ""), pa.scalar(None, pa.string()))
-        yield _batch(_KINDS, {"key": keys, "doc_id": batch.column("doc_id").to_pylist(), "n_words": n, "collapsed_sha256": digests, "text": kept.to_pylist()})
+        kept = texts.take(pa.array(np.arange(len(n)), mask=~opened))
+        yield _batch(_KINDS, {"key": keys, "doc_id": batch.column("doc_id"), "n_words": n, "collapsed_sha256": digests, "text": kept})
 
     return solve
 
