@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import support
 from ..functions.indicators import next_period, period
+from ..sources.delimited import read_metadata, write_metadata, write_reports
+from ..sources.scratch import scratch
+from .boosting import BoostedTrees
 from .evaluation import (
     CLASSES, TARGET, baselines, check_split, check_targets, class_weights, classification_metrics, confusion_counts, confusion_matrix, model_selection, roc_auc_ovr, stratified_split, temporal_split,
     with_split_year,
@@ -41,6 +46,13 @@ def scaled(df: DataFrame, statistics: DataFrame) -> DataFrame:
     return joined.withColumns(z).drop(*statistics.columns)
 
 
+def scaler(statistics: Row) -> SQLTransformer:
+    """The stage that adds z_<predictor>, with its numbers in its statement, so that it is stored and loaded like any other."""
+    number = lambda v: f"double('{v!r}')" if v is not None else "double(null)"
+    z = [f"CASE WHEN {number(statistics[f'{c}_desv'])} > 0 THEN ({c} - {number(statistics[f'{c}_media'])}) / {number(statistics[f'{c}_desv'])} ELSE 0D END AS z_{c}" for c in NUMERIC]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(z)} FROM __THIS__")
+
+
 def encoder() -> list:
     """Stages from the categorical and z_ columns to `features`; an unseen category is all zeros."""
     index = StringIndexer(inputCols=S.CATEGORICAL, outputCols=[f"i_{c}" for c in S.CATEGORICAL], handleInvalid="keep")
@@ -50,67 +62,112 @@ def encoder() -> list:
 
 def classifiers(*, trees: int = 300, depth: int = 12, boosts: int = 300, boost_depth: int = 5, iterations: int = 2000, weight_sum: float = 1.0) -> dict[str, object]:
     common = {"featuresCol": "features", "labelCol": TARGET, "weightCol": "peso"}
-    boosted = GBTClassifier(maxIter=boosts, maxDepth=boost_depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, **common)
     return {
         "Regresion_Logistica": LogisticRegression(maxIter=iterations, family="multinomial", regParam=1.0 / max(weight_sum, 1.0), standardization=False, **common),
-        "Random_Forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42, featureSubsetStrategy="sqrt", maxMemoryInMB=1024, **common),
-        "Arboles_Potenciados": OneVsRest(classifier=boosted, featuresCol="features", labelCol=TARGET, weightCol="peso", parallelism=3),
+        "Random_Forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42, featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True, **common),
+        "Arboles_Potenciados": BoostedTrees(rounds=boosts, depth=boost_depth, step=0.05, rows=0.8, columns=0.8, classes=len(CLASSES), seed=42, features="features", label=TARGET, weight="peso"),
     }
 
 
-class FittedModel:
-    """A fitted pipeline with the scaling row of its training data."""
+@dataclass
+class Prepared:
+    """Training rows as written vectors (features, target, peso), with the fitted stages that made them."""
 
-    def __init__(self, pipeline: PipelineModel, statistics: DataFrame, name: str):
-        self.pipeline, self.statistics, self.name = pipeline, statistics, name
+    stages: list
+    rows: DataFrame
+    n: int
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """df with p0, p1, p2 and yhat."""
-        out = self.pipeline.transform(scaled(df, self.statistics))
-        if "probability" in out.columns:
-            p = vector_to_array("probability")
-        else:
-            # one-vs-rest has margins only: each class's sigmoid, over their sum
-            raw = F.transform(vector_to_array("rawPrediction"), lambda r: 1 / (1 + F.exp(-2 * r)))
-            p = F.transform(raw, lambda v: v / F.aggregate(raw, F.lit(0.0), lambda a, x: a + x))
-        out = out.withColumn("_p", p)
-        names = [c for c in out.columns if c in df.columns]
-        return out.select(*names, *[F.coalesce(F.get("_p", F.lit(c)), F.lit(0.0)).alias(f"p{c}") for c in CLASSES], F.col("prediction").cast("int").alias("yhat"))
+    @property
+    def groups(self) -> list[int]:
+        """The one-hot values of each categorical predictor."""
+        return [len(labels) for labels in self.stages[1].labelsArray]
 
 
-def fit(train: DataFrame, name: str, **parameters) -> FittedModel:
-    """The named classifier on class-balanced training rows; the statistics row is written into the plan once.
+def prepare(train: DataFrame) -> Prepared:
+    """Encodes, scales and weights the rows once, for all fits on them.
 
     A small table comes in one partition, which one core would work through in each of the many passes: rows are spread over
     all cores, those of a table with more partitions than cores stay where they are."""
+    spark = train.sparkSession
     weights = class_weights(train).select(F.col("clase").alias("_c"), "peso")
     narrow = train.select(*S.PREDICTORS, TARGET)
-    cores = train.sparkSession.sparkContext.defaultParallelism
+    found = narrow.agg(*_moments(), F.count("*").alias("filas")).first()
+    pipeline = Pipeline(stages=[scaler(found), *encoder()]).fit(narrow)
+    rows = pipeline.transform(narrow.join(F.broadcast(weights), F.col(TARGET) == F.col("_c"))).select("features", TARGET, "peso")
+    cores = spark.sparkContext.defaultParallelism
     if narrow.rdd.getNumPartitions() < cores:
-        narrow = narrow.repartition(cores)
-    rows = narrow.join(F.broadcast(weights), F.col(TARGET) == F.col("_c")).drop("_c")
-    found = train.agg(*_moments(), F.count("*").alias("filas"))
-    row = found.first()
-    known, total = train.sparkSession.createDataFrame([row], found.schema).drop("filas"), float(row.filas)
-    algorithm = classifiers(weight_sum=total, **parameters)[name]
-    pipeline = Pipeline(stages=[*encoder(), algorithm]).fit(scaled(rows, known))
-    return FittedModel(pipeline, known, name)
+        rows = rows.repartition(cores)
+    path = scratch(spark, "vectors")
+    rows.write.parquet(path)
+    return Prepared(pipeline.stages, spark.read.parquet(path), found.filas)
+
+
+class FittedModel:
+    """A fitted pipeline, from the predictors to the probabilities, and the classifier's name."""
+
+    def __init__(self, pipeline: PipelineModel, name: str):
+        self.pipeline, self.name = pipeline, name
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with p0, p1, p2 and yhat."""
+        out = self.pipeline.transform(df).withColumn("_p", vector_to_array("probability"))
+        return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(F.get("_p", F.lit(c)), F.lit(0.0)).alias(f"p{c}") for c in CLASSES], F.col("prediction").cast("int").alias("yhat"))
+
+    def save(self, path: str, metadata: DataFrame | None = None) -> None:
+        """Stores the pipeline and a metadata row (the name, if none is given) under a new path."""
+        spark = SparkSession.getActiveSession()
+        self.pipeline.write().save(f"{path}/pipeline")
+        write_metadata(spark.createDataFrame([(self.name,)], "mejor_modelo string") if metadata is None else metadata, f"{path}/metadata")
+
+
+def load_model(spark: SparkSession, path: str) -> FittedModel:
+    """A stored model; its metadata is read_model_metadata(spark, path)."""
+    return FittedModel(PipelineModel.load(f"{path}/pipeline"), read_model_metadata(spark, path).first().mejor_modelo)
+
+
+def read_model_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return read_metadata(spark, f"{path}/metadata")
+
+
+def fit(train: DataFrame | Prepared, name: str, **parameters) -> FittedModel:
+    """The named classifier on class-balanced training rows."""
+    ready = train if isinstance(train, Prepared) else prepare(train)
+    algorithm = classifiers(weight_sum=float(ready.n), **parameters)[name]
+    if isinstance(algorithm, BoostedTrees):
+        algorithm.groups = ready.groups
+    return FittedModel(PipelineModel(stages=[*ready.stages, algorithm.fit(ready.rows)]), name)
+
+
+def scored_rows(model: FittedModel, test: DataFrame, kind: str) -> DataFrame:
+    return model.transform(test).select(F.lit(model.name).alias("modelo"), F.lit(kind).alias("evaluacion"), F.col(TARGET).cast("int").alias("y"), "yhat", "p0", "p1", "p2")
+
+
+def metrics(scored: DataFrame) -> DataFrame:
+    """A row a model and evaluation, from written scored rows."""
+    one = scored.withColumn("modelo", F.concat_ws("|", "modelo", "evaluacion"))
+    sure = one.groupBy("modelo").agg(F.avg(F.greatest("p0", "p1", "p2")).alias("probabilidad_maxima_promedio"))
+    found = classification_metrics(confusion_counts(one)).join(roc_auc_ovr(one), "modelo").join(sure, "modelo")
+    return found.withColumn("evaluacion", F.substring_index("modelo", "|", -1)).withColumn("modelo", F.substring_index("modelo", "|", 1))
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def evaluated(model: FittedModel, test: DataFrame, kind: str = "temporal") -> DataFrame:
-    """The metric row of a fitted model on test rows."""
-    scored = model.transform(test).select(F.lit(model.name).alias("modelo"), F.col(TARGET).cast("int").alias("y"), "yhat", "p0", "p1", "p2")
-    sure = scored.groupBy("modelo").agg(F.avg(F.greatest("p0", "p1", "p2")).alias("probabilidad_maxima_promedio"))
-    return classification_metrics(confusion_counts(scored)).join(roc_auc_ovr(scored), "modelo").join(sure, "modelo").withColumn("evaluacion", F.lit(kind))
+    """The metric row of a fitted model on test rows, which are scored once."""
+    return metrics(_written(scored_rows(model, test, kind), "scored"))
 
 
 def feature_importance(model: FittedModel) -> DataFrame:
-    """(variable, importancia) of a forest, encoded columns summed to the raw one. Its size is the number of predictors."""
+    """(variable, importancia) of trees, encoded columns summed to the raw one. Its size is the number of predictors."""
     forest = model.pipeline.stages[-1]
-    sizes = [len(labels) for labels in model.pipeline.stages[0].labelsArray] + [1] * len(NUMERIC)
+    sizes = [len(labels) for labels in model.pipeline.stages[1].labelsArray] + [1] * len(NUMERIC)
     names = [c for c, n in zip([*S.CATEGORICAL, *NUMERIC], sizes) for _ in range(n)]
     values = forest.featureImportances.toArray()
-    rows = model.statistics.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "variable string, importancia double")
+    rows = SparkSession.getActiveSession().createDataFrame([(n, float(v)) for n, v in zip(names, values)], "variable string, importancia double")
     return rows.groupBy("variable").agg(F.sum("importancia").alias("importancia"))
 
 
@@ -139,6 +196,18 @@ def importance(model: FittedModel, test: DataFrame) -> DataFrame:
     return feature_importance(model) if hasattr(model.pipeline.stages[-1], "featureImportances") else permutation_importance(model, test)
 
 
+def together(spark: SparkSession, jobs: dict[str, Callable]) -> dict:
+    """The results of independent jobs, submitted at once, each from its own scheduler pool (of use under FAIR scheduling)."""
+
+    def run(name: str, job: Callable):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        return job()
+
+    with ThreadPoolExecutor(len(jobs)) as threads:
+        running = {name: threads.submit(inheritable_thread_target(spark)(run), name, job) for name, job in jobs.items()}
+        return {name: r.result() for name, r in running.items()}
+
+
 @dataclass
 class TrainingRun:
     """What a training run finds: one row a model and evaluation in `metrics`, and so on; `final` is the winner fitted on all rows."""
@@ -151,36 +220,61 @@ class TrainingRun:
     selection: DataFrame
     importance: DataFrame
     final: FittedModel
+    models: dict[tuple[str, str], FittedModel]
 
     def reports(self) -> dict[str, DataFrame]:
         return {"metricas": self.metrics, "metricas_baseline": self.baselines, "matriz_confusion": self.confusion, "importancia": self.importance}
 
+    def metadata(self, df: DataFrame) -> DataFrame:
+        """One nested row that tells how the model came about: rows, years, periods, classes, predictors, metrics, importances, margin."""
+        spark = df.sparkSession
+        year = spark.createDataFrame([(self.year,)], "anio_prueba int")
+        summary = training_summary(df, year, self.metrics.where("evaluacion = 'temporal'"), self.importance)
+        more = df.agg(F.count("*").alias("registros"), F.sort_array(F.collect_set("periodo_actual")).alias("periodos"))
+        listed = lambda m, name: m.agg(F.collect_list(F.struct(*m.columns)).alias(name))
+        chosen = self.selection.select(F.col("modelo").alias("mejor_modelo"), "f1_modelo", "baseline", "f1_baseline", "supera_baseline")
+        fixed = {"tipo_modelo": F.lit("prediccion_siguiente_mes"), "horizonte_prediccion": F.lit("mes_siguiente"), "variable_objetivo": F.lit(TARGET), "anio_completo": F.lit(self.complete), "columnas_predictoras": F.array(*map(F.lit, S.PREDICTORS)), "columnas_excluidas": F.array(*map(F.lit, S.NEVER_PREDICTORS))}
+        parts = [more, chosen, listed(self.metrics, "metricas"), listed(self.baselines, "metricas_baseline")]
+        return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts, summary).withColumns(fixed)
+
+    def save(self, df: DataFrame, path: str) -> None:
+        """The final model, its metadata and the reports, under a new path."""
+        self.final.save(path, self.metadata(df))
+        write_reports(self.reports(), f"{path}/reports")
+
 
 def training_run(df: DataFrame, *, names: Sequence[str] | None = None, asked_year: int | None = None, **parameters) -> TrainingRun:
     """Fits each classifier before the test year and on the random split, takes the best by macro F1 of the test year (the first
     by name of equals), and fits it again on all rows.
 
-    df is read many times and should be a written table. Errors: a class missing or with one row, no complete or
+    df is read several times and should be a written table. Each split is dealt, encoded and written once, and the fits on it run at
+    the same time. Test rows are scored once and written. Errors: a class missing or with one row, no complete or
     asked year, a test year without rows. Metrics, at most a few rows a model, are the only rows that reach the driver."""
+    spark = df.sparkSession
     check_targets(df)
     year, complete = choose_test_year(df, asked_year)
     train, test = temporal_split(df, year)
     check_split(train, test)
-    dealt = stratified_split(df)
-    rows, cells, models = [], [], {}
-    for name in names or classifiers():
-        models[name] = fit(train, name, **parameters)
-        other = fit(dealt.where("parte = 'train'").drop("parte"), name, **parameters)
-        for model, on, kind in ((models[name], test, "temporal"), (other, dealt.where("parte = 'test'").drop("parte"), "aleatorio")):
-            rows += evaluated(model, on, kind).collect()
-            scored = model.transform(on).select(F.lit(name).alias("modelo"), F.col(TARGET).cast("int").alias("y"), "yhat")
-            cells += confusion_matrix(scored).withColumn("evaluacion", F.lit(kind)).collect()
-    spark = df.sparkSession
-    metrics = spark.createDataFrame(rows)
+    dealt = _written(stratified_split(df), "random-split")
+    splits = {"temporal": (train, test), "aleatorio": (dealt.where("parte = 'train'").drop("parte"), dealt.where("parte = 'test'").drop("parte"))}
+    ready = together(spark, {kind: lambda rows=rows: prepare(rows) for kind, (rows, _) in splits.items()})
+    kinds = {f"{kind}-{name}": (kind, name) for kind in splits for name in names or classifiers()}
+
+    def one(kind: str, name: str) -> tuple[FittedModel, DataFrame]:
+        model = fit(ready[kind], name, **parameters)
+        return model, _written(scored_rows(model, splits[kind][1], kind), "scored")
+
+    found = together(spark, {k: lambda kind=kind, name=name: one(kind, name) for k, (kind, name) in kinds.items()})
+    models = {(name, kind): found[k][0] for k, (kind, name) in kinds.items()}
+    scored = reduce(DataFrame.unionByName, [rows for _, rows in found.values()])
+    told = spark.createDataFrame(metrics(scored).collect())
+    cells = confusion_matrix(scored.withColumn("modelo", F.concat_ws("|", "modelo", "evaluacion")))
+    cells = cells.withColumn("evaluacion", F.substring_index("modelo", "|", -1)).withColumn("modelo", F.substring_index("modelo", "|", 1))
     baseline = spark.createDataFrame(classification_metrics(confusion_counts(baselines(train, test))).collect())
-    selection = model_selection(metrics.where("evaluacion = 'temporal'"), baseline)
+    selection = spark.createDataFrame(model_selection(told.where("evaluacion = 'temporal'"), baseline).collect())
     best = selection.first().modelo
-    return TrainingRun(year, complete, metrics, baseline, spark.createDataFrame(cells), selection, importance(models[best], test), fit(df, best, **parameters))
+    leading = spark.createDataFrame(importance(models[best, "temporal"], test).collect())
+    return TrainingRun(year, complete, told, baseline, spark.createDataFrame(cells.collect()), selection, leading, fit(df, best, **parameters), models)
 
 
 def top_variables(df: DataFrame, importance: DataFrame, limit: int = 5) -> Column:

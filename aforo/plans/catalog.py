@@ -683,8 +683,12 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("score")
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest is stored in the shared folder, and the test rows are scored by what is loaded from there."""
     model, test = _trained(spark, sf_dir, "Random_Forest")
-    return learning.score(test, model, learning.feature_importance(model))
+    path = scratch(spark, "model")
+    model.save(path)
+    stored = learning.load_model(spark, path)
+    return learning.score(test, stored, learning.feature_importance(stored))
 
 
 @query("training_summary", over("yr", select="SELECT count(*) FILTER (WHERE CAST(substr(periodo_predicho, 1, 4) AS INTEGER) < anio_prueba) AS registros_train, count(*) FILTER (WHERE CAST(substr(periodo_predicho, 1, 4) AS INTEGER) = anio_prueba) AS registros_test, max(anio_prueba) AS anio_prueba, count(*) FILTER (WHERE nivel_riesgo_siguiente_mes = 'alto') AS n_alto FROM fut, yr"))
@@ -701,11 +705,28 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.importance(*_trained(spark, sf_dir, "Regresion_Logistica"))
 
 
-@query("training_run")
-def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic regression and forest on both splits, the winner fitted again on all rows: its class and probabilities for every row."""
+def _run(spark: SparkSession, sf_dir: str) -> str:
+    """A training run of all classifiers, stored with its metadata and reports; the folder."""
     full = _training_table(spark, sf_dir)
-    run = learning.training_run(full, names=("Regresion_Logistica", "Random_Forest"))
-    folder = scratch(spark, "reports")
-    delimited.write_reports(run.reports(), folder)
-    return run.final.transform(full).select(*_ID, F.lit(run.final.name).alias("modelo"), "yhat", "p0", "p1", "p2")
+    path = scratch(spark, "training-run")
+    learning.training_run(full).save(full, path)
+    return path
+
+
+_CLASSES = "SELECT evaluacion, ['bajo', 'medio', 'alto'][clase + 1] AS clase, n FROM"
+_RUN_SQL = f"""SELECT modelo, evaluacion, clase, CAST(n AS BIGINT) AS n FROM ({_CLASSES} (SELECT 'temporal' AS evaluacion, nivel_riesgo_siguiente_mes_codificado AS clase, count(*) AS n FROM fut, yr WHERE CAST(substr(periodo_predicho, 1, 4) AS INTEGER) = anio_prueba GROUP BY 2)
+  UNION ALL {_CLASSES} (SELECT 'aleatorio' AS evaluacion, clase, n_test AS n FROM ({_SIZES}))), (VALUES ('Regresion_Logistica'), ('Random_Forest'), ('Arboles_Potenciados')) m(modelo)"""
+
+
+@query("training_run", over("yr", select=_RUN_SQL))
+def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three classifiers on two splits, and the winner fitted again on all rows: the test rows of each class that each model
+    was judged by, from the stored confusion matrices."""
+    report = delimited.scan_dataset(spark, _run(spark, sf_dir) + "/reports/matriz_confusion", format="csv", schema="modelo string, real string, predicho_bajo long, predicho_medio long, predicho_alto long, evaluacion string")
+    return report.select("modelo", "evaluacion", F.substring_index("real", "_", -1).alias("clase"), (F.col("predicho_bajo") + F.col("predicho_medio") + F.col("predicho_alto")).alias("n"))
+
+
+@query("training_report")
+def training_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored metadata of a training run: rows, years, classes, metrics, selection and leading variables of the trained models."""
+    return learning.read_model_metadata(spark, _run(spark, sf_dir))

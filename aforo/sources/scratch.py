@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names, or where it is unset (tests) in a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-aforo-")
+    """A new path in the folder that spark.checkpoint.dir names. Where it is unset, a local session (tests) gets a temporary
+    folder; on a cluster that is an error, as its executors would not share it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-aforo-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
