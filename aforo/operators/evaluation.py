@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..sources.scratch import written
 
 TARGET = "nivel_riesgo_siguiente_mes_codificado"
 CLASSES = {v: k for k, v in S.RISK_CODES.items()}
@@ -16,8 +17,12 @@ def target_year() -> Column:
 
 
 def temporal_split(df: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
-    """Rows whose target year lies before, and those within, the test year; later ones are in neither."""
-    return df.where(target_year() < year), df.where(target_year() == year)
+    """Rows whose target year lies before, and those within, the test year; later ones are in neither.
+
+    A row's own year is its target year or the one before it (December), and that is asked for as well: of a dataset by year only
+    the two folders of the test are read, and none after the training's last."""
+    own = F.col("anio")
+    return df.where((own < year) & (target_year() < year)), df.where(own.between(year - 1, year) & (target_year() == year))
 
 
 def check_split(train: DataFrame, test: DataFrame) -> None:
@@ -142,13 +147,19 @@ def hard_probabilities(predictions: DataFrame) -> DataFrame:
 
 def roc_auc_ovr(scored: DataFrame) -> DataFrame:
     """(modelo, roc_auc_ovr_macro) from (modelo, y, p0, p1, p2): the mean over classes of the rank statistic, ties halved;
-    null if a class has only positives or none. Rows are counted by score before any window, whose size is then the
-    number of distinct scores of one class."""
+    null if a class has only positives or none.
+
+    Rows are counted by score, and the counts written by ranges of (model, class, score). Negatives below a score are those of the
+    earlier ranges, from a sum a range, and those before it in its own: no task gets all scores of a class."""
     long = scored.select("modelo", "y", F.explode(F.array(*[F.struct(F.lit(c).alias("clase"), F.col(f"p{c}").alias("s")) for c in CLASSES])).alias("e"))
     at = long.groupBy("modelo", "e.clase", "e.s").agg(F.count_if(F.col("y") == F.col("e.clase")).alias("pos"), F.count_if(F.col("y") != F.col("e.clase")).alias("neg"))
-    w = Window.partitionBy("modelo", "clase").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = at.withColumn("menos", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    per = pairs.groupBy("modelo", "clase").agg(F.sum(F.col("pos") * (F.col("menos") + F.col("neg") * 0.5)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    at = written(at.repartitionByRange("modelo", "clase", "s").withColumn("tramo", F.spark_partition_id()), "scores")
+    sums = at.groupBy("modelo", "clase", "tramo").agg(F.sum("neg").alias("suyos"))
+    earlier = F.sum("suyos").over(Window.partitionBy("modelo", "clase").orderBy("tramo")) - F.col("suyos")
+    within = Window.partitionBy("modelo", "clase", "tramo").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = at.withColumn("menos", F.coalesce(F.sum("neg").over(within), F.lit(0))).join(sums.select("modelo", "clase", "tramo", earlier.alias("antes")), ["modelo", "clase", "tramo"])
+    below = F.col("antes") + F.col("menos")
+    per = pairs.groupBy("modelo", "clase").agg(F.sum(F.col("pos") * (below + F.col("neg") * 0.5)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     auc = per.withColumn("auc", F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))))
     return auc.groupBy("modelo").agg(F.when(F.count("auc") == len(CLASSES), F.avg("auc")).alias("roc_auc_ovr_macro"))
 

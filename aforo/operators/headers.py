@@ -6,7 +6,8 @@ import re
 import unicodedata
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .. import schema as S
 
@@ -53,3 +54,14 @@ def detect_format(names: Iterable[str]) -> str:
     if set(S.TEMPLATE_REQUIRED) <= template:
         return INTERNAL
     return D1 if set(S.RAW_REQUIRED) <= raw else UNKNOWN
+
+
+def format_of(header: Column, separator: Column) -> Column:
+    """detect_format over header lines, as an expression. Names are taken apart at the separator; accents as template headers have them."""
+    names = F.transform(F.split(header, separator), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
+    upper = F.transform(names, lambda x: F.regexp_replace(F.upper(x), r"\s+", "_"))
+    plain = lambda x: F.translate(F.lower(x), "áéíóúüñ", "aeiouun")
+    lower = F.transform(names, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(plain(x), r"[ \-./\\]", "_"), "_+", "_"), "^_|_$", ""))
+    known = lambda found, aliases: F.transform(found, lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(y) for pair in aliases.items() for y in pair]), x), x))
+    has = lambda found, wanted: F.size(F.array_except(F.array(*map(F.lit, wanted)), found)) == 0
+    return F.when(has(known(lower, S.TEMPLATE_ALIASES), S.TEMPLATE_REQUIRED), INTERNAL).when(has(known(upper, S.RAW_ALIASES), S.RAW_REQUIRED), D1).otherwise(UNKNOWN)

@@ -19,7 +19,7 @@ from .. import schema as S
 from ..functions import support
 from ..functions.indicators import next_period, period
 from ..sources.delimited import read_metadata, write_metadata, write_reports
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
 from .boosting import BoostedTrees
 from .evaluation import (
     CLASSES, TARGET, baselines, check_split, check_targets, class_weights, classification_metrics, confusion_counts, confusion_matrix, model_selection, roc_auc_ovr, stratified_split, temporal_split,
@@ -150,15 +150,9 @@ def metrics(scored: DataFrame) -> DataFrame:
     return found.withColumn("evaluacion", F.substring_index("modelo", "|", -1)).withColumn("modelo", F.substring_index("modelo", "|", 1))
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def evaluated(model: FittedModel, test: DataFrame, kind: str = "temporal") -> DataFrame:
     """The metric row of a fitted model on test rows, which are scored once."""
-    return metrics(_written(scored_rows(model, test, kind), "scored"))
+    return metrics(written(scored_rows(model, test, kind), "scored"))
 
 
 def feature_importance(model: FittedModel) -> DataFrame:
@@ -255,14 +249,14 @@ def training_run(df: DataFrame, *, names: Sequence[str] | None = None, asked_yea
     year, complete = choose_test_year(df, asked_year)
     train, test = temporal_split(df, year)
     check_split(train, test)
-    dealt = _written(stratified_split(df), "random-split")
+    dealt = written(stratified_split(df), "random-split")
     splits = {"temporal": (train, test), "aleatorio": (dealt.where("parte = 'train'").drop("parte"), dealt.where("parte = 'test'").drop("parte"))}
     ready = together(spark, {kind: lambda rows=rows: prepare(rows) for kind, (rows, _) in splits.items()})
     kinds = {f"{kind}-{name}": (kind, name) for kind in splits for name in names or classifiers()}
 
     def one(kind: str, name: str) -> tuple[FittedModel, DataFrame]:
         model = fit(ready[kind], name, **parameters)
-        return model, _written(scored_rows(model, splits[kind][1], kind), "scored")
+        return model, written(scored_rows(model, splits[kind][1], kind), "scored")
 
     found = together(spark, {k: lambda kind=kind, name=name: one(kind, name) for k, (kind, name) in kinds.items()})
     models = {(name, kind): found[k][0] for k, (kind, name) in kinds.items()}

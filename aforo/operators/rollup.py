@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..sources.scratch import written
 
 PRESSURE = "presion_ingresos_camas"
 
@@ -31,33 +33,53 @@ def _finite(column: str):
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
+_SLOTS = 1 << 16
+
+
+def _magnitude(v: Column) -> Column:
+    """A whole number that grows with v: its sign and sixteenth powers of two. 67 thousand of them hold all doubles."""
+    power = F.floor(F.log2(F.abs(v)) * 16) + 20_000
+    return F.when(F.isnan(v), F.lit(1 << 40)).when(v == 0, F.lit(0)).when(F.abs(v) == float("inf"), F.signum(v) * (1 << 30)).otherwise(F.signum(v) * power).cast("long")
+
+
 def exact_percentiles(df: DataFrame, value: Column, shares: Sequence[float], *by: str) -> DataFrame:
     """(by..., n, p): how many values a group has and its percentiles, in the order of the shares, by linear interpolation.
-    Nulls do not count; a group without values has no row, but without `by` there is one row, with an empty p.
-
-    Equal values are counted first, on many tasks. Their counts are summed by logarithmic bins, 4096 to a power of e, of which
-    doubles fill at most some 6 million, whatever the data; running sums over these tell the one or two bins that hold a share's
-    rank, and only their values are ranked. So no task gets all values, and each is compared exactly."""
-    counts = df.select(*by, value.alias("v")).where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("c"))
-    counts = counts.withColumn("bin", F.when(F.isnan("v"), F.lit(2**62)).otherwise(F.floor(F.signum("v") * F.log1p(F.abs("v")) * 4096)))
-    sums = counts.groupBy(*by, "bin").agg(F.sum("c").alias("c"))
-    sums = sums.withColumns({"before": F.sum("c").over(Window.partitionBy(*by).orderBy("bin")) - F.col("c"), "n": F.sum("c").over(Window.partitionBy(*by))})
-    asked = sums.select(*by, "bin", "before", "c", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(p)) * (F.col("n") - 1)).alias("rank")) for k, p in enumerate(shares)])).alias("at")).select(
-        *by, "bin", "before", "c", "n", "at.*", F.floor("at.rank").alias("low"), F.ceil("at.rank").alias("high")
+    Nulls do not count; a group without values has no row, but without `by` there is one row, with an n of 0 and an empty p.
+
+    A radix selection: the values are written, and counted by magnitude; of each slot that holds a wanted rank the values from its
+    least to its largest are counted again in 65,536 equal slots, until a slot has one value. A magnitude has some 2^48 doubles, so
+    that takes three further passes at most, whatever the values, and no task ever gets more than the counters of a group."""
+    values = written(df.select(*by, value.cast("double").alias("v")).where("v is not null"), "values")
+    n = Window.partitionBy(*by)
+    slots = values.groupBy(*by, _magnitude(F.col("v")).alias("slot")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+    slots = slots.withColumns({"n": F.sum("c").over(n), "before": F.sum("c").over(n.orderBy("slot")) - F.col("c")})
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), (F.lit(float(p)) * (F.col("n") - 1)).alias("exact")) for k, p in enumerate(shares) for side in (0, 1)])
+    each = slots.select(*by, "n", "before", "c", "low", "high", F.explode(wanted).alias("w")).select(*by, "n", "before", "c", "low", "high", "w.k", "w.side", "w.exact", F.when(F.col("w.side") == 0, F.floor("w.exact")).otherwise(F.ceil("w.exact")).alias("rank"))
+    holds = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))
+    columns = [*by, "n", "k", "side", "exact", "rank", "before", "low", "high"]
+    asked = written(each.where(holds).select(*columns), "ranks")
+    done = [asked.where("not low < high")]
+    while not (left := asked.where("low < high")).isEmpty():
+        t = left.select(*columns)
+        inside = (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))
+        met = values.join(t, list(by)).where(inside) if by else values.join(F.broadcast(t), inside)  # without groups it has a row a share and side
+        slot = F.least(F.lit(_SLOTS - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * _SLOTS))
+        counted = met.groupBy(*columns, slot.alias("slot")).agg(F.count("*").alias("c"), F.min("v").alias("first"), F.max("v").alias("last"))
+        upto = F.sum("c").over(Window.partitionBy(*columns).orderBy("slot"))
+        counted = counted.withColumn("start", F.col("before") + upto - F.col("c")).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("c")))
+        asked = written(counted.select(*by, "n", "k", "side", "exact", "rank", F.col("start").alias("before"), F.col("first").alias("low"), F.col("last").alias("high")), "ranks")
+        done.append(asked.where("not low < high"))
+    found = reduce(DataFrame.unionByName, done).groupBy(*by, "k").agg(
+        F.max(F.when(F.col("side") == 0, F.col("low"))).alias("one"), F.max(F.when(F.col("side") == 1, F.col("low"))).alias("two"), F.max("exact").alias("exact"), F.max("n").alias("n")
     )
-    holds = lambda r: (F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("c"))
-    asked = asked.where(holds("low") | holds("high")).drop("c")
-    near = counts.join(F.broadcast(asked), [*by, "bin"]).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*by, "k", "bin").orderBy("v")))
-    reach = lambda r: F.min(F.when(F.col("upto") > F.col(r), F.col("v"))).alias(f"v_{r}")
-    found = near.groupBy(*by, "k").agg(reach("low"), reach("high"), F.first("rank").alias("rank"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("n").alias("n"))
-    between = (F.col("high") - F.col("rank")) * F.col("v_low") + (F.col("rank") - F.col("low")) * F.col("v_high")
-    p = F.when(F.col("v_low") == F.col("v_high"), F.col("v_low")).otherwise(between)
+    between = (F.ceil("exact") - F.col("exact")) * F.col("one") + (F.col("exact") - F.floor("exact")) * F.col("two")
+    p = F.when(F.col("one") == F.col("two"), F.col("one")).otherwise(between)
     return found.groupBy(*by).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.sort_array(F.collect_list(F.struct("k", p.alias("p")))).alias("p")).select(*by, "n", F.col("p.p").alias("p"))
 
 
 def pressure_percentiles(df: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """One row: P50 and P75 of the finite pressures by linear interpolation, and how many there are; exact=False takes
-    approximate ones, in one pass."""
+    approximate ones, in one pass. Without finite pressures both are null (with_current_risk(strict=True) makes that an error)."""
     v = _finite(PRESSURE)
     if exact:
         found = exact_percentiles(df, v, (0.5, 0.75)).withColumnRenamed("n", "cantidad_valores_validos")
@@ -89,12 +111,15 @@ def dataset_metadata(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.crossJoin(F.broadcast(a)).withColumn("registros_eliminados", F.col("registros_antes") - F.col("registros_despues"))
 
 
-def stage_counts(**stages: DataFrame) -> DataFrame:
-    out = None
-    for name, df in stages.items():
-        one = df.agg(F.count("*").alias("registros")).select(F.lit(name).alias("etapa"), "registros")
-        out = one if out is None else out.unionByName(one)
-    return out
+def stage_counts(source: DataFrame, first: str, **steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(etapa, registros) of the source and after each step, in one run of the chain: rows are counted as they pass."""
+    seen = {name: Observation(f"etapa-{name}") for name in (first, *steps)}
+    count = F.count(F.lit(1)).alias("registros")
+    df = source.observe(seen[first], count)
+    for name, step in steps.items():
+        df = step(df).observe(seen[name], count)
+    df.write.format("noop").mode("overwrite").save()
+    return source.sparkSession.createDataFrame([(name, o.get["registros"]) for name, o in seen.items()], "etapa string, registros long")
 
 
 def complete_years(df: DataFrame) -> DataFrame:
@@ -126,3 +151,24 @@ def prediction_upsert(stored: DataFrame, new: DataFrame, key: str = "indicador_i
     both = stored.withColumn("_nuevo", F.lit(0)).unionByName(new.withColumn("_nuevo", F.lit(1)))
     columns = [c for c in stored.columns if c != key]
     return both.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(date, "_nuevo")).alias("s")).select(key, *[F.col(f"s.{c}").alias(c) for c in columns])
+
+
+def store_predictions(new: DataFrame, path: str, key: str = "indicador_id", date: str = "fecha", buckets: int = 64) -> None:
+    """prediction_upsert into a table at the path, in `buckets` folders by the key's hash (the same number each time). Only folders
+    that a new key falls into are read and written again; the others' files stay as they are. An absent table begins with `new`."""
+    spark = new.sparkSession
+    dealt = written(new.withColumn("cubo", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "predictions")
+    touched = [r.cubo for r in dealt.select("cubo").distinct().collect()]
+    stored = read_predictions(spark, path, dealt.schema).where(F.col("cubo").isin(touched))
+    latest = prediction_upsert(stored, dealt, key, date)
+    latest.repartition("cubo").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cubo").parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The stored predictions with their folder number `cubo`; with a schema, no rows where there is no table yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if schema is None:
+        return spark.read.parquet(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)

@@ -17,40 +17,40 @@ def _series() -> WindowSpec:
     return Window.partitionBy(*S.SERIES).orderBy(ordinal())
 
 
-def _previous(value: Column, n: int) -> Column:
-    return F.lag(value, n).over(_series())
+def _previous(value: Column, n: int, w: WindowSpec | None = None) -> Column:
+    return F.lag(value, n).over(w or _series())
 
 
-def _one_back() -> Column:
-    return F.coalesce(ordinal() - _previous(ordinal(), 1) == 1, F.lit(False))
+def _one_back(w: WindowSpec | None = None) -> Column:
+    return F.coalesce(ordinal() - _previous(ordinal(), 1, w) == 1, F.lit(False))
 
 
-def _two_back() -> Column:
-    return _one_back() & F.coalesce(ordinal() - _previous(ordinal(), 2) == 2, F.lit(False))
+def _two_back(w: WindowSpec | None = None) -> Column:
+    return _one_back(w) & F.coalesce(ordinal() - _previous(ordinal(), 2, w) == 2, F.lit(False))
 
 
-def moving_mean(column: str) -> Column:
+def moving_mean(column: str, w: WindowSpec | None = None) -> Column:
     """Mean of this month, the one before and the one before that, as far as they follow without a gap; nulls are left out."""
-    values = F.array(F.col(column), F.when(_one_back(), _previous(F.col(column), 1)), F.when(_two_back(), _previous(F.col(column), 2)))
+    values = F.array(F.col(column), F.when(_one_back(w), _previous(F.col(column), 1, w)), F.when(_two_back(w), _previous(F.col(column), 2, w)))
     held = F.array_compact(values)
     return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda a, x: a + x) / F.size(held))
 
 
-def trend(column: str) -> Column:
+def trend(column: str, w: WindowSpec | None = None) -> Column:
     """Change against the month before, 0.0 where that month is missing."""
-    return F.when(_one_back(), F.col(column) - _previous(F.col(column), 1)).otherwise(0.0)
+    return F.when(_one_back(w), F.col(column) - _previous(F.col(column), 1, w)).otherwise(0.0)
 
 
-def with_moving_means(df: DataFrame) -> DataFrame:
-    return df.withColumns({out: moving_mean(c) for c, out in S.MEANS_3M.items()})
+def with_moving_means(df: DataFrame, w: WindowSpec | None = None) -> DataFrame:
+    return df.withColumns({out: moving_mean(c, w) for c, out in S.MEANS_3M.items()})
 
 
-def with_trends(df: DataFrame) -> DataFrame:
-    return df.withColumns({out: trend(c) for c, out in S.TRENDS_1M.items()})
+def with_trends(df: DataFrame, w: WindowSpec | None = None) -> DataFrame:
+    return df.withColumns({out: trend(c, w) for c, out in S.TRENDS_1M.items()})
 
 
-def with_temporal(df: DataFrame) -> DataFrame:
-    return df.transform(with_calendar).transform(with_moving_means).transform(with_trends)
+def with_temporal(df: DataFrame, w: WindowSpec | None = None) -> DataFrame:
+    return with_trends(with_moving_means(with_calendar(df), w), w)
 
 
 def duplicate_periods(df: DataFrame) -> DataFrame:
@@ -58,20 +58,27 @@ def duplicate_periods(df: DataFrame) -> DataFrame:
     return df.groupBy(*S.SERIES, "anio", "mes").agg(F.count("*").alias("n")).where("n > 1")
 
 
+DUPLICATES = "Existen registros duplicados para una misma IPRESS, servicio y periodo mensual."
+
+
 def check_periods(df: DataFrame) -> DataFrame:
     """df itself; an error where a series has a month twice."""
     if not duplicate_periods(df).isEmpty():
-        raise ValueError("Existen registros duplicados para una misma IPRESS, servicio y periodo mensual.")
+        raise ValueError(DUPLICATES)
     return df
 
 
-def with_history_flag(df: DataFrame) -> DataFrame:
-    return df.withColumn("historial_completo", _two_back())
+def with_history_flag(df: DataFrame, w: WindowSpec | None = None) -> DataFrame:
+    return df.withColumn("historial_completo", _two_back(w))
+
 
+def with_future_target(df: DataFrame, *, strict: bool = False) -> DataFrame:
+    """Next month's risk on each row; rows whose series has no row in exactly the next month go.
 
-def with_future_target(df: DataFrame) -> DataFrame:
-    """Next month's risk on each row; rows whose series has no row in exactly the next month go."""
+    strict: a month that a series has twice is an error, seen within the same window when the rows are computed."""
     follows = F.lead(ordinal()).over(_series()) == ordinal() + 1
+    if strict:
+        follows = F.when(_previous(ordinal(), 1) == ordinal(), F.raise_error(F.lit(DUPLICATES)).cast("boolean")).otherwise(follows)
     return df.withColumns({
         "periodo_actual": period(F.col("anio"), F.col("mes")), "periodo_predicho": next_period(F.col("anio"), F.col("mes")),
         "nivel_riesgo_siguiente_mes": F.lead("nivel_riesgo_actual").over(_series()), "nivel_riesgo_siguiente_mes_codificado": F.lead("nivel_riesgo_actual_codificado").over(_series()), "_sigue": follows,
@@ -86,16 +93,16 @@ def next_month_join(df: DataFrame) -> DataFrame:
 
 
 def score_rows(current: DataFrame, history: DataFrame, limit: int = 12) -> DataFrame:
-    """Temporal features of the current rows from their series' history: earlier months only, at most `limit` rows of it.
-
-    Each series has one current row. A union and one window pass, no range join."""
-    both = history.withColumn("_actual", F.lit(0)).unionByName(current.withColumn("_actual", F.lit(1)))
-    w = Window.partitionBy(*S.SERIES)
-    at = F.max(F.when(F.col("_actual") == 1, ordinal())).over(w)
-    earlier = both.withColumn("_en", at).where((F.col("_actual") == 1) | (ordinal() < F.col("_en"))).drop("_en")
-    rank = F.row_number().over(w.orderBy(ordinal().desc()))
-    recent = earlier.withColumn("_n", rank).where(F.col("_n") <= limit + 1).drop("_n")
-    return recent.transform(with_temporal).transform(with_history_flag).where("_actual = 1").drop("_actual")
+    """Temporal features of the current rows from their series' history, of which the `limit` months before each are used.
+
+    A series can have any number of current rows: each asks for the months before it by an equi-join, and one window pass over the
+    request (series and month) tells the features. A current row that is in the history as well is no history of its own."""
+    wanted = current.select(*S.SERIES, ordinal().alias("_pide")).distinct()
+    wanted = wanted.withColumn("_ord", F.explode(F.sequence(F.col("_pide") - limit, F.col("_pide") - 1)))
+    past = history.withColumn("_ord", ordinal()).join(wanted, [*S.SERIES, "_ord"]).select(*history.columns, "_pide", F.lit(0).alias("_actual"))
+    both = past.unionByName(current.withColumn("_pide", ordinal()).withColumn("_actual", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(*S.SERIES, "_pide").orderBy(ordinal())
+    return both.transform(lambda df: with_temporal(df, w)).transform(lambda df: with_history_flag(df, w)).where("_actual = 1").drop("_actual", "_pide")
 
 
 def history_violations(current: DataFrame, history: DataFrame, limit: int = 12) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import clean, evaluation, headers, learning, quality, risk, rol
 from ..sources import delimited
 from ..sources.scratch import scratch
 from . import panel as P
-from .sql_views import over
+from .sql_views import NUM, PRD, REQ, over
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -62,9 +62,10 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-@query("dialect_detect")
+@query("dialect_detect", over("raw", select="SELECT CASE WHEN y < 1998 THEN ';' ELSE ',' END AS separador, 'UTF-8' AS codificacion, count(*) AS n_filas FROM (SELECT coalesce(TRY_CAST(ANHO AS INTEGER), 9999) AS y FROM raw) GROUP BY 1"))
 def dialect_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delimited.dialects(spark, _written(spark, sf_dir) + "/*").groupBy("separador", "codificacion").agg(F.sum("n_lineas").alias("n_lineas"))
+    """Lines of values by dialect; the files of either have no byte beyond ASCII."""
+    return delimited.dialects(spark, _written(spark, sf_dir) + "/*").groupBy("separador", "codificacion").agg(F.sum(F.col("n_lineas") - 1).alias("n_filas"))
 
 
 @query("scan_csv", over("raw", select="SELECT ANHO, count(*) AS n FROM raw GROUP BY ANHO"))
@@ -111,11 +112,10 @@ def header_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("advertencias", F.lit(len(warnings)))
 
 
-@query("detect_format")
+@query("detect_format", over("raw", select=f"SELECT '{headers.D1}' AS formato, count(*) AS n_filas FROM raw"))
 def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = delimited.dialects(spark, _written(spark, sf_dir) + "/*").collect()
-    rows = [(r.archivo, headers.detect_format(c.strip('" ') for c in r.encabezado.split(r.separador))) for r in found]
-    return spark.createDataFrame(rows, "archivo string, formato string").groupBy("formato").agg(F.count("*").alias("n"))
+    found = delimited.dialects(spark, _written(spark, sf_dir) + "/*")
+    return found.withColumn("formato", headers.format_of(F.col("encabezado"), F.col("separador"))).groupBy("formato").agg(F.sum(F.col("n_lineas") - 1).alias("n_filas"))
 
 
 @query("rename", over("rol", select=f"SELECT {', '.join(f'{a} AS {b}' for a, b in S.PUBLIC_NAMES.items())} FROM rol"))
@@ -264,8 +264,7 @@ def dataset_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stage_counts", over("rol", select="SELECT 'crudo' AS etapa, count(*) AS registros FROM raw UNION ALL SELECT 'limpio', count(*) FROM cln UNION ALL SELECT 'filtrado', count(*) FROM sco UNION ALL SELECT 'consolidado', count(*) FROM rol"))
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = _cleaned(spark, sf_dir)
-    return rollup.stage_counts(crudo=P.raw(spark, sf_dir), limpio=cleaned, filtrado=clean.filter_scope(cleaned), consolidado=_rolled(spark, sf_dir))
+    return rollup.stage_counts(P.raw(spark, sf_dir), "crudo", limpio=clean.clean_records, filtrado=clean.filter_scope, consolidado=rollup.monthly_rollup)
 
 
 # --- series -------------------------------------------------------------------------------------------------------
@@ -328,10 +327,11 @@ def project_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(clean.project_output(P.training(spark, sf_dir)), *_FLOATS, "mes_sin", "mes_cos", *_MEANS, *_TRENDS)
 
 
-@query("score_with_history", over("tmp", select=f"SELECT {_IDS}, historial_completo, {_round(*_MEANS, *_TRENDS)} FROM tmp WHERE anio = 1997 AND mes = 6"))
+@query("score_with_history", over("tmp", select=f"SELECT {_IDS}, historial_completo, {_round(*_MEANS, *_TRENDS)} FROM tmp"))
 def score_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every month of every series as a request, with the whole panel as history."""
     p = P.indicators(spark, sf_dir)
-    return _rounded(temporal.score_rows(p.where("anio = 1997 and mes = 6"), p).where("anio = 1997").select(*_ID, "historial_completo", *_MEANS, *_TRENDS).distinct(), *_MEANS, *_TRENDS)
+    return _rounded(temporal.score_rows(p, p).select(*_ID, "historial_completo", *_MEANS, *_TRENDS), *_MEANS, *_TRENDS)
 
 
 @query("risk_current", over("rsk", select=f"SELECT {_IDS}, nivel_riesgo_actual, nivel_riesgo_actual_codificado FROM rsk"))
@@ -342,7 +342,7 @@ def risk_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- checks -------------------------------------------------------------------------------------------------------
 
 
-@query("validate_schema")
+@query("validate_schema", over("tpl", select="SELECT count(*) AS registros, 'Faltan columnas obligatorias: mes, total_camas' AS error, 0 AS registros_validos FROM tpl"))
 def validate_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = P.template(spark, sf_dir).drop("mes", "total_camas")
     return t.agg(F.count("*").alias("registros")).withColumns({"error": F.lit(quality.missing_columns(t.columns)[0]), "registros_validos": F.lit(0)})
@@ -389,12 +389,25 @@ def input_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.input_violations(p.withColumns({"distrito": F.when(F.col("mes") == 4, "").otherwise(F.col("distrito")), "total_camas": F.when(F.col("total_camas") == 0, -1.0).otherwise(F.col("total_camas")), "anio": F.when(F.col("anio") == 1999, 1899).otherwise(F.col("anio"))}))
 
 
-@query("prediction_upsert", over("rsk", select="SELECT indicador_id, fecha, nivel FROM (SELECT codigo_ipress || servicio_hospitalizacion AS indicador_id, printf('%04d-%02d', anio, mes) AS fecha, upper(nivel_riesgo_actual) AS nivel, row_number() OVER (PARTITION BY codigo_ipress, servicio_hospitalizacion ORDER BY anio DESC, mes DESC) AS rn FROM rsk) WHERE rn = 1"))
+_LATEST = over("rsk", select="SELECT indicador_id, fecha, nivel FROM (SELECT codigo_ipress || servicio_hospitalizacion AS indicador_id, printf('%04d-%02d', anio, mes) AS fecha, upper(nivel_riesgo_actual) AS nivel, row_number() OVER (PARTITION BY codigo_ipress, servicio_hospitalizacion ORDER BY anio DESC, mes DESC) AS rn FROM rsk) WHERE rn = 1")
+
+
+@query("prediction_upsert", _LATEST)
 def prediction_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = P.labelled(spark, sf_dir).select(F.concat("codigo_ipress", "servicio_hospitalizacion").alias("indicador_id"), I.period(F.col("anio"), F.col("mes")).alias("fecha"), F.upper("nivel_riesgo_actual").alias("nivel"))
     return rollup.prediction_upsert(r.where("fecha < '2000-01'"), r.where("fecha >= '2000-01'"))
 
 
+@query("stored_upsert", _LATEST)
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stored table, in two batches."""
+    r = P.labelled(spark, sf_dir).select(F.concat("codigo_ipress", "servicio_hospitalizacion").alias("indicador_id"), I.period(F.col("anio"), F.col("mes")).alias("fecha"), F.upper("nivel_riesgo_actual").alias("nivel"))
+    path = scratch(spark, "stored-predictions")
+    for batch in (r.where("fecha < '2000-01'"), r.where("fecha >= '2000-01'")):
+        rollup.store_predictions(batch, path)
+    return rollup.read_predictions(spark, path, None).drop("cubo")
+
+
 # --- decision support ---------------------------------------------------------------------------------------------
 
 _CONF = "CAST(anio % 10 AS DOUBLE) / 10 + 0.05"
@@ -445,7 +458,10 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.labelled(spark, sf_dir).select(*_ID, F.posexplode(D.recommendations(D.main_cause(_risk()))).alias("pos", "recomendacion"))
 
 
-@query("interpretation_text")
+_TEXT = f"'{S.MODEL_TEXT[0]}Random_Forest{S.MODEL_TEXT[1]}' || upper(nivel_riesgo_actual) || '{S.MODEL_TEXT[2]}' || printf('%.1f', floor(({_CONF}) * 100 * 10 + 0.5) / 10) || '%{S.MODEL_TEXT[3]}'"
+
+
+@query("interpretation_text", over("rsk", select=f"SELECT {_IDS}, {_TEXT} AS interpretacion FROM rsk"))
 def interpretation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.labelled(spark, sf_dir).select(*_ID, D.model_text(_risk(), _confidence(), "Random_Forest").alias("interpretacion"))
 
@@ -504,7 +520,7 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _training_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The training table with the history flag, in the named columns (all if none), as a written table."""
-    full = temporal.with_future_target(temporal.with_history_flag(temporal.with_temporal(P.labelled(spark, sf_dir))))
+    full = temporal.with_history_flag(P.training(spark, sf_dir))
     full = full.select(*columns) if columns else full
     path = scratch(spark, "training")
     full.write.parquet(path)
@@ -587,6 +603,20 @@ def roc_auc_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.roc_auc_ovr(evaluation.hard_probabilities(_baselines(spark, sf_dir))), "roc_auc_ovr_macro")
 
 
+_CONT = _AUC.replace("CAST(yhat = k AS INTEGER) AS s FROM bas", "CASE k WHEN 0 THEN 1 / (1 + ocupacion_estimada) WHEN 1 THEN 1 / (1 + ratio_camas_disponibles) ELSE presion_ingresos_camas / (1 + presion_ingresos_camas) END AS s FROM (SELECT *, 'indicadores' AS modelo, nivel_riesgo_siguiente_mes_codificado AS y FROM fut)")
+
+
+@query("roc_auc_scores", over("fut", select=_CONT))
+def roc_auc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuous scores, as models have them: the indicators squeezed into [0, 1]."""
+    c = F.col
+    scored = P.training(spark, sf_dir).select(
+        F.lit("indicadores").alias("modelo"), c(evaluation.TARGET).alias("y"), (1 / (1 + c("ocupacion_estimada"))).alias("p0"), (1 / (1 + c("ratio_camas_disponibles"))).alias("p1"),
+        (c("presion_ingresos_camas") / (1 + c("presion_ingresos_camas"))).alias("p2"),
+    )
+    return _rounded(evaluation.roc_auc_ovr(scored), "roc_auc_ovr_macro")
+
+
 @query("baseline_metrics", over("rep", select=f"SELECT m.*, a.roc_auc_ovr_macro, 1.0::DOUBLE AS probabilidad_maxima_promedio FROM ({_METRICS}) m JOIN ({_AUC}) a USING (modelo)"))
 def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _baseline_metrics(_baselines(spark, sf_dir))
@@ -636,6 +666,31 @@ def scan_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.scan_template(spark, path)[0].select("fila", *S.TEMPLATE_REQUIRED)
 
 
+_UPLOAD = ", upl AS (SELECT * REPLACE (anio_de || ':' || (row_number() OVER (PARTITION BY anio_de ORDER BY fila) + 1) AS fila) FROM (SELECT * REPLACE (nullif(total_estancias, 'nan') AS total_estancias), split_part(fila, '|', 2) AS anio_de FROM tpl))"
+_NOTE = "SELECT fila, campo, mensaje FROM (" + " UNION ALL ".join(SQL.replace("FROM tpl", "FROM upl") for SQL in (REQ, PRD, NUM)) + ")"
+
+
+@query("upload_errors", over("tpl", select="SELECT 1").removesuffix("SELECT 1").rstrip() + _UPLOAD + " " + _NOTE)
+def upload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template without row ids, uploaded as a file a year: its errors name the year and the row's number in the file."""
+    path = scratch(spark, "upload")
+    t = P.template(spark, sf_dir).withColumn("anio_de", F.split("fila", r"\|")[1])
+    t.repartition("anio_de").sortWithinPartitions("anio_de", "fila").drop("fila").write.partitionBy("anio_de").csv(path, header=True, sep=";")
+    scanned = delimited.scan_template(spark, path)[0].withColumn("fila", F.concat_ws(":", "anio_de", "fila"))
+    return quality.required_errors(scanned).unionByName(quality.period_errors(scanned)).unionByName(quality.numeric_errors(scanned))
+
+
+@query("pruned_split", over("yr", select="SELECT 'test' AS parte, anio, count(*) AS n FROM fut, yr WHERE CAST(substr(periodo_predicho, 1, 4) AS INTEGER) = anio_prueba GROUP BY anio UNION ALL SELECT 'train', anio, count(*) FROM fut, yr WHERE CAST(substr(periodo_predicho, 1, 4) AS INTEGER) < anio_prueba GROUP BY anio"))
+def pruned_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The temporal split of the stored dataset, of which the test reads two years' folders."""
+    path = scratch(spark, "dataset")
+    full = P.training(spark, sf_dir).select("codigo_ipress", "mes", "periodo_predicho", "anio")
+    delimited.write_dataset(full, path)
+    stored = delimited.scan_dataset(spark, path, schema=full.schema)
+    train, test = evaluation.temporal_split(stored, rollup.choose_test_year(stored)[0])
+    return rollup.frequencies(test.withColumn("parte", F.lit("test")), "parte", "anio").unionByName(rollup.frequencies(train.withColumn("parte", F.lit("train")), "parte", "anio"))
+
+
 _REPORT = """SELECT modelo, (['bajo', 'medio', 'alto'])[clase + 1] AS etiqueta, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(re AS BIGINT) AS soporte FROM rep
   UNION ALL SELECT modelo, 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(re) AS BIGINT) FROM rep GROUP BY 1
   UNION ALL SELECT modelo, 'weighted avg', round(sum(precision * re) / sum(re), 6), round(sum(recall * re) / sum(re), 6), round(sum(f1 * re) / sum(re), 6), CAST(sum(re) AS BIGINT) FROM rep GROUP BY 1"""

@@ -81,5 +81,6 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full training table: indicators, temporal features, current risk and next month's."""
-    return with_future_target(with_temporal(labelled(spark, sf_dir)))
+    """The full training table: indicators, temporal features, current risk and next month's; a month twice or missing
+    percentiles are errors."""
+    return with_future_target(with_temporal(with_current_risk(indicators(spark, sf_dir), strict=True)), strict=True)

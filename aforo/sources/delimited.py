@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -41,7 +41,8 @@ def _scan(spark: SparkSession, paths: list[str], encoding: str, separator: str,
     # a file is one task only where a value holds a line break
     df = spark.read.csv(paths, header=True, sep=separator, encoding=encoding, multiLine=breaks, escape='"', mode="FAILFAST", nullValue=None)
     tagged = [F.col("_metadata.file_name").alias("ARCHIVO_ORIGEN")] if tag else []
-    texts = [F.when(~F.col(f"`{c}`").isin(S.NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns]
+    # columns that folder names tell may be numbers
+    texts = [F.when(~F.col(f"`{c}`").isin(S.NA_TOKENS), F.col(f"`{c}`")).alias(c) if kind == "string" else F.col(f"`{c}`") for c, kind in df.dtypes]
     return df.select(*texts, *tagged)
 
 
@@ -71,9 +72,20 @@ def scan_directory(spark: SparkSession, folder: str) -> tuple[DataFrame, list[st
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), [r.archivo for r in found if r.n_lineas < 2]
 
 
+def numbered(df: DataFrame, name: str = "fila") -> DataFrame:
+    """A scan of files with each row's number in its file: 2 for the first one below the header, and one more for each record,
+    so a quoted value may span lines. Rows are numbered within their split; what lies before a split is a sum over one row a split."""
+    split = df.withColumns({"_archivo": F.col("_metadata.file_path"), "_desde": F.col("_metadata.file_block_start"), "_n": F.monotonically_increasing_id()})
+    sizes = split.groupBy("_archivo", "_desde").agg(F.count("*").alias("_filas"), F.min("_n").alias("_primera"))
+    before = F.sum("_filas").over(Window.partitionBy("_archivo").orderBy("_desde")) - F.col("_filas")
+    joined = split.join(sizes.select("_archivo", "_desde", "_primera", before.alias("_antes")), ["_archivo", "_desde"])
+    return joined.withColumn(name, F.col("_n") - F.col("_primera") + F.col("_antes") + 2).drop("_archivo", "_desde", "_n", "_primera", "_antes")
+
+
 def scan_template(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """An uploaded template with canonical names, and its warnings."""
-    return template_header(scan_csv(spark, path))
+    """An uploaded template with canonical names, and its warnings. Unless it has a column fila, that is the row's number in its file."""
+    df = scan_csv(spark, path)
+    return template_header(df if "fila" in df.columns else numbered(df))
 
 
 def write_dataset(df: DataFrame, path: str, *, format: str = "parquet") -> None:
