@@ -20,10 +20,11 @@ def with_current_risk(df: DataFrame, percentiles: DataFrame | tuple[float, float
     is written, so that it is computed once. NaN counts as missing. strict: without percentiles any row is an error, when it is computed."""
     if percentiles is None:
         df = written(df, "indicators")
+        percentiles = pressure_percentiles(df, stored=True)
     if isinstance(percentiles, tuple):
         joined = df.withColumns({"_p50": F.lit(float(percentiles[0])), "_p75": F.lit(float(percentiles[1]))})
     else:
-        row = (pressure_percentiles(df) if percentiles is None else percentiles).select(F.col("presion_ingresos_camas_percentil_50").alias("_p50"), F.col("presion_ingresos_camas_percentil_75").alias("_p75"))
+        row = percentiles.select(F.col("presion_ingresos_camas_percentil_50").alias("_p50"), F.col("presion_ingresos_camas_percentil_75").alias("_p75"))
         joined = df.crossJoin(F.broadcast(row))
     known = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
     occupancy, ratio, pressure = known("ocupacion_estimada"), known("ratio_camas_disponibles"), known("presion_ingresos_camas")

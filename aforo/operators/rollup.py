@@ -42,14 +42,20 @@ def _magnitude(v: Column) -> Column:
     return F.when(F.isnan(v), F.lit(1 << 40)).when(v == 0, F.lit(0)).when(F.abs(v) == float("inf"), F.signum(v) * (1 << 30)).otherwise(F.signum(v) * power).cast("long")
 
 
-def exact_percentiles(df: DataFrame, value: Column, shares: Sequence[float], *by: str) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: Column, shares: Sequence[float], *by: str, stored: bool = False) -> DataFrame:
     """(by..., n, p): how many values a group has and its percentiles, in the order of the shares, by linear interpolation.
     Nulls do not count; a group without values has no row, but without `by` there is one row, with an n of 0 and an empty p.
 
-    A radix selection: the values are written, and counted by magnitude; of each slot that holds a wanted rank the values from its
+    A radix selection: the values are written (unless df is stored, so that reading it again is cheap), and counted by magnitude; of each slot that holds a wanted rank the values from its
     least to its largest are counted again in 65,536 equal slots, until a slot has one value. A magnitude has some 2^48 doubles, so
     that takes three further passes at most, whatever the values, and no task ever gets more than the counters of a group."""
-    values = written(df.select(*by, value.cast("double").alias("v")).where("v is not null"), "values")
+    values = df.select(*by, value.cast("double").alias("v")).where("v is not null")
+    values = values if stored else written(values, "values")
+
+    def kept(asked: DataFrame) -> DataFrame:
+        """Computed once. Without groups that is a row a share and side; rows of groups stay with Spark."""
+        return written(asked, "ranks") if by else asked.sparkSession.createDataFrame(asked.collect(), asked.schema)
+
     n = Window.partitionBy(*by)
     slots = values.groupBy(*by, _magnitude(F.col("v")).alias("slot")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
     slots = slots.withColumns({"n": F.sum("c").over(n), "before": F.sum("c").over(n.orderBy("slot")) - F.col("c")})
@@ -57,7 +63,7 @@ def exact_percentiles(df: DataFrame, value: Column, shares: Sequence[float], *by
     each = slots.select(*by, "n", "before", "c", "low", "high", F.explode(wanted).alias("w")).select(*by, "n", "before", "c", "low", "high", "w.k", "w.side", "w.exact", F.when(F.col("w.side") == 0, F.floor("w.exact")).otherwise(F.ceil("w.exact")).alias("rank"))
     holds = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))
     columns = [*by, "n", "k", "side", "exact", "rank", "before", "low", "high"]
-    asked = written(each.where(holds).select(*columns), "ranks")
+    asked = kept(each.where(holds).select(*columns))
     done = [asked.where("not low < high")]
     while not (left := asked.where("low < high")).isEmpty():
         t = left.select(*columns)
@@ -67,7 +73,7 @@ def exact_percentiles(df: DataFrame, value: Column, shares: Sequence[float], *by
         counted = met.groupBy(*columns, slot.alias("slot")).agg(F.count("*").alias("c"), F.min("v").alias("first"), F.max("v").alias("last"))
         upto = F.sum("c").over(Window.partitionBy(*columns).orderBy("slot"))
         counted = counted.withColumn("start", F.col("before") + upto - F.col("c")).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("c")))
-        asked = written(counted.select(*by, "n", "k", "side", "exact", "rank", F.col("start").alias("before"), F.col("first").alias("low"), F.col("last").alias("high")), "ranks")
+        asked = kept(counted.select(*by, "n", "k", "side", "exact", "rank", F.col("start").alias("before"), F.col("first").alias("low"), F.col("last").alias("high")))
         done.append(asked.where("not low < high"))
     found = reduce(DataFrame.unionByName, done).groupBy(*by, "k").agg(
         F.max(F.when(F.col("side") == 0, F.col("low"))).alias("one"), F.max(F.when(F.col("side") == 1, F.col("low"))).alias("two"), F.max("exact").alias("exact"), F.max("n").alias("n")
@@ -77,12 +83,12 @@ def exact_percentiles(df: DataFrame, value: Column, shares: Sequence[float], *by
     return found.groupBy(*by).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.sort_array(F.collect_list(F.struct("k", p.alias("p")))).alias("p")).select(*by, "n", F.col("p.p").alias("p"))
 
 
-def pressure_percentiles(df: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+def pressure_percentiles(df: DataFrame, exact: bool = True, accuracy: int = 10_000, *, stored: bool = False) -> DataFrame:
     """One row: P50 and P75 of the finite pressures by linear interpolation, and how many there are; exact=False takes
     approximate ones, in one pass. Without finite pressures both are null (with_current_risk(strict=True) makes that an error)."""
     v = _finite(PRESSURE)
     if exact:
-        found = exact_percentiles(df, v, (0.5, 0.75)).withColumnRenamed("n", "cantidad_valores_validos")
+        found = exact_percentiles(df, v, (0.5, 0.75), stored=stored).withColumnRenamed("n", "cantidad_valores_validos")
     else:
         found = df.agg(F.percentile_approx(v, [0.5, 0.75], accuracy).alias("p"), F.count(v).alias("cantidad_valores_validos"))
     return found.select(F.get("p", F.lit(0)).alias("presion_ingresos_camas_percentil_50"), F.get("p", F.lit(1)).alias("presion_ingresos_camas_percentil_75"), "cantidad_valores_validos")
