@@ -199,6 +199,31 @@ def test_shared_passages(spark):
     assert substring_dedup.shared_passages(frame(spark, [])).count() == 0
 
 
+def pairs_among_decoys(spark, n_words, part, decoys, change, pairs=20):
+    """Of pairs of documents with one passage in common, how many are found where others hold only its first or last words."""
+    rng = random.Random(n_words + change)
+    fill = lambda: [f"z{rng.randrange(10**7)}" for _ in range(rng.randint(0, 60))]
+    docs, want = {}, set()
+    for p in range(pairs):
+        run = [f"p{p}q{i}" for i in range(n_words)]
+        other, k = run[:], rng.randrange(5, n_words - 5)
+        if change:  # 1: a word is another, 2: a word is added
+            other[k : k + 2 - change] = ["changed"]
+        ids = rng.sample(range(10**9), 2 + 2 * decoys)
+        want.add((max(ids[:2]), min(ids[:2])))
+        docs |= {i: " ".join(fill() + w + fill()) for i, w in zip(ids, [run, other] + [run[:part], run[n_words - part :]] * decoys)}
+    got = {(r.doc_id, r.other_doc_id) for r in substring_dedup.shared_passages(frame(spark, docs.items()).repartition(5)).collect()}
+    assert got <= want
+    return len(got) / len(want)
+
+
+def test_pairs_are_found_among_documents_with_parts_of_their_passage(spark):
+    assert pairs_among_decoys(spark, 60, 40, 20, 0) == 1
+    assert pairs_among_decoys(spark, 50, 47, 10, 0) == 1
+    assert pairs_among_decoys(spark, 60, 40, 20, 1) >= 0.9
+    assert pairs_among_decoys(spark, 60, 40, 20, 2) >= 0.9
+
+
 def test_common_runs_are_all_found(spark):
     rng = random.Random(9)
     passages = [[f"p{k}q{i}" for i in range(rng.randint(50, 80))] for k in range(10)]
