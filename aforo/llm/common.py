@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH_KEY = "spark.checkpoint.dir"
+_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,13 +37,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage so that a lost executor
-    recomputes at most the current step, and lets AQE see real sizes and split skewed join keys."""
+    recomputes at most the current step, and lets AQE see real sizes and split skewed join keys. The step's shuffle files go
+    once it is written, as nothing reads them any more."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP_KEY, None)
+    spark.conf.set(_CLEANUP_KEY, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP_KEY)
+        else:
+            spark.conf.set(_CLEANUP_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
