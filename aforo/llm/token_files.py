@@ -305,5 +305,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_token_files of the files that write_token_files makes of `documents`. Rows that repeat a doc_id, null included, lie in one
+    range partition."""
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     return read_token_files(write_token_files(docs, scratch_path(spark, "token-files")))
