@@ -19,10 +19,10 @@ _CUT = re.compile(rf"(?<=[^\s{_MARK}]) (?=[^\s{_MARK}])")
 
 def split_at_spaces(text: str) -> list[str]:
     """Parts of the text without the lone spaces between them; ' '.join gives the text back."""
-    return text.split(" ") if _only_lone_spaces(text) else _CUT.split(text)
+    return text.split(" ") if only_lone_spaces(text) else _CUT.split(text)
 
 
-def _only_lone_spaces(text: str) -> bool:
+def only_lone_spaces(text: str) -> bool:
     """Whether each space stands between two other characters: single searches, far faster than a pattern."""
     if text[:1] == " " or text[-1:] == " " or _MARK in text:
         return False

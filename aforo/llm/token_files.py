@@ -15,19 +15,21 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, only, open_output, read_bytes, scratch_path, table
-from .segments import BoundedCache, byte_batches, split_at_spaces, utf8_sizes
+from .segments import byte_batches, only_lone_spaces, split_at_spaces, utf8_sizes
 
 MAGIC, BLOCK = b"PFB1", 512
 _HEAD = struct.Struct("<4sIQII")
-_tokenizers: dict[str, tuple[object, np.ndarray, BoundedCache, BoundedCache]] = {}
+_tokenizers: dict[tuple[str, int], tuple] = {}
 
 
 # --- the format -----------------------------------------------------------------------------------------------
@@ -152,9 +154,45 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _tokenizer(path: str):
-    """The worker's tokenizer with the encodings of parts at a text's start and of parts behind a space."""
-    if path not in _tokenizers:
+class _Known:
+    """Encodings of parts seen before, back to back in one array, and the number of each part: of those at a text's start
+    (`first`) and of those behind a space (`later`). Number 0 is the end id alone. Emptied when the parts are many or long."""
+
+    def __init__(self, end_id: int, max_parts: int = 1_500_000, max_chars: int = 30_000_000):
+        self.end_id, self.max_parts, self.max_chars = end_id, max_parts, max_chars
+        self.empty()
+
+    def empty(self) -> None:
+        self.first: dict[str, int] = {}
+        self.later: dict[str, int] = {}
+        self.ids, self.cuts, self.chars = np.array([self.end_id], np.uint32), np.array([0, 1], np.int64), 0
+
+    def add(self, where: dict[str, int], parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        where.update(zip(parts, range(len(self.cuts) - 1, len(self.cuts) - 1 + len(parts))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(sizes)])
+        self.chars += sum(map(len, parts))
+
+    def trim(self) -> None:
+        if self.chars > self.max_chars or len(self.cuts) > self.max_parts:
+            self.empty()
+
+    def sizes(self, numbers: np.ndarray) -> np.ndarray:
+        return self.cuts[numbers + 1] - self.cuts[numbers]
+
+    def joined(self, numbers: np.ndarray, sizes: np.ndarray, step: int = 500_000) -> np.ndarray:
+        """The ids of these parts one behind the other."""
+        out = [np.empty(0, np.uint32)]
+        for a in range(0, len(numbers), step):
+            n = sizes[a : a + step]
+            ends = np.cumsum(n)
+            out.append(self.ids[np.repeat(self.cuts[numbers[a : a + step]] - (ends - n), n) + np.arange(ends[-1])])
+        return np.concatenate(out)
+
+
+def _tokenizer(path: str, end_id: int):
+    """The worker's tokenizer, which of its tokens begin with a space, and what it has encoded."""
+    if (path, end_id) not in _tokenizers:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
@@ -164,82 +202,119 @@ def _tokenizer(path: str):
         starts = np.zeros(t.get_vocab_size() + 1, bool)
         for token, number in t.get_vocab().items():
             starts[number] = token.startswith("Ġ")
-        _tokenizers[path] = t, starts, BoundedCache(1_000_000, 30_000), BoundedCache(20_000_000, 1_000_000)
-    return _tokenizers[path]
+        _tokenizers[path, end_id] = t, starts, _Known(end_id)
+    return _tokenizers[path, end_id]
 
 
-def _encoded(tokenizer, texts: list[str]) -> list[bytes]:
-    return [np.array(x.ids, "<u4").tobytes() for a, b in byte_batches(utf8_sizes(texts), 500_000) for x in tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+def _encoded(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, how many each text has)."""
+    found = [x.ids for a, b in byte_batches(utf8_sizes(texts), 500_000) for x in tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+    return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
 
-def _encoded_words(tokenizer, starts: np.ndarray, words: list[str], run: int = 128) -> list[bytes]:
-    """The ids of each word behind a space. Words without a space inside are encoded in runs, as a text of them: each
+def _encoded_words(tokenizer, starts: np.ndarray, words: list[str], run: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """_encoded of each word behind a space. Words without a space inside are encoded in runs, as a text of them: each
     begins with a token that holds the space, and no other token does."""
-    out: list[bytes] = []
+    ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
     runs = [words[i : i + run] for i in range(0, len(words), run)]
     for own, found in zip(runs, tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False)):
-        ids = np.array(found.ids, "<u4")
-        at = np.flatnonzero(starts[ids])
+        all_ids = np.array(found.ids, np.uint32)
+        at = np.flatnonzero(starts[all_ids])
+        n = np.diff(at, append=len(all_ids))
         if len(at) != len(own):
-            out += _encoded(tokenizer, [" " + w for w in own])
-            continue
-        raw, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-        out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-    return out
+            all_ids, n = _encoded(tokenizer, [" " + w for w in own])
+        ids.append(all_ids)
+        sizes.append(n)
+    return np.concatenate(ids), np.concatenate(sizes)
 
 
 _MARKS = ".,!?;:"  # a letter before one of these always ends a pre-token, and a run of these up to a space is one
 
 
-def _add_words(tokenizer, starts: np.ndarray, new: set[str], later: BoundedCache, first: BoundedCache) -> None:
-    """Put new parts into the cache. What ends in punctuation shares the encoding of its word with other endings."""
-    spaced = [x for x in new if " " in x]
-    ended = []
-    for x in [x for x in new if x[-1:] in _MARKS and " " not in x]:
-        core = x.rstrip(_MARKS)
-        if core[-1:].isalpha():
+def _add_words(tokenizer, starts: np.ndarray, known: _Known, new: list[str]) -> None:
+    """Encode parts behind a space that are not known. What ends in punctuation shares the encoding of its word with other endings."""
+    later, first = known.later, known.first
+    spaced, words, ended = [], set(), []
+    for x in new:
+        if " " in x:
+            spaced.append(x)
+        elif x[-1:] in _MARKS and (core := x.rstrip(_MARKS))[-1:].isalpha():
             ended.append((x, core, x[len(core) :]))
-    words = list(new.difference(spaced, [x for x, _, _ in ended]).union(c for _, c, _ in ended if c not in later))
-    later.add(spaced, _encoded(tokenizer, [" " + x for x in spaced]))
-    later.add(words, _encoded_words(tokenizer, starts, words))
+            if core not in later:
+                words.add(core)
+        else:
+            words.add(x)
+    known.add(later, spaced, *_encoded(tokenizer, [" " + x for x in spaced]))
+    known.add(later, (listed := list(words)), *_encoded_words(tokenizer, starts, listed))
     tails = list({t for _, _, t in ended if t not in first})
-    first.add(tails, _encoded(tokenizer, tails))
-    later.add([x for x, _, _ in ended], [later[c] + first[t] for _, c, t in ended])
+    known.add(first, tails, *_encoded(tokenizer, tails))
+    pairs = np.array([(later[c], first[t]) for _, c, t in ended], np.int64).reshape(-1, 2)
+    sizes = known.sizes(pairs)
+    known.add(later, [x for x, _, _ in ended], known.joined(pairs.ravel(), sizes.ravel()), sizes.sum(axis=1))
+
+
+def _parts(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """(the parts of all texts, where each text's begin, with the end): cut at lone spaces."""
+    plain = np.array([only_lone_spaces(t) for t in texts], bool)
+    lists = pc.split_pattern(pa.array([t for t, ok in zip(texts, plain) if ok], pa.string()), " ")
+    if not plain.all():
+        odd = pa.array([split_at_spaces(t) for t, ok in zip(texts, plain) if not ok], pa.list_(pa.string()))
+        place = np.empty(len(texts), np.int64)
+        place[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(texts))
+        lists = pa.concat_arrays([lists, odd]).take(pa.array(place))
+    return lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _numbers(parts: pa.Array, where: dict[str, int], add) -> np.ndarray:
+    """The number of each part; `add` is given the list of those that have none, each once."""
+    coded = parts.dictionary_encode()
+    unlike = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    add([x for x in unlike if x not in where])
+    return np.fromiter(map(where.__getitem__, unlike), np.int64, len(unlike))[coded.indices.to_numpy()]
 
 
-def encode_texts(texts: list[str], path: str, end_id: int) -> Iterator[bytes]:
+def encode_texts(texts: list[str], path: str, end_id: int, batch_bytes: int = 8_000_000) -> Iterator[bytes]:
     """For each text its ids as little-endian u32, with the end id; as the library encodes the whole text.
 
-    Texts are cut at lone spaces, where the byte-level pre-tokenizer always starts a new word."""
-    tokenizer, starts, first, later = _tokenizer(path)
-    end = struct.pack("<I", end_id)
-    for a, b in byte_batches(utf8_sizes(texts)):
-        parts = [split_at_spaces(t) for t in texts[a:b]]
-        heads = [p[0] for p in parts]
-        for p in parts:
-            del p[0]
-        new = [x for x in set(heads) if x not in first]
-        first.add(new, _encoded(tokenizer, new))
-        _add_words(tokenizer, starts, {x for x in set().union(*parts) if x not in later}, later, first)
-        get = later.__getitem__
-        for head, p in zip(heads, parts):
-            yield first[head] + b"".join(map(get, p)) + end
-        first.trim()
-        later.trim()
+    Texts are cut at lone spaces, where the byte-level pre-tokenizer always starts a new word. Of a batch's parts only unlike
+    ones are looked up, and the ids of all are put together at once."""
+    tokenizer, starts, known = _tokenizer(path, end_id)
+    for a, b in byte_batches(utf8_sizes(texts), batch_bytes):
+        parts, cuts = _parts(texts[a:b])
+        heads = np.zeros(len(parts), bool)
+        heads[cuts[:-1]] = True
+        numbers = np.zeros(len(parts) + b - a, np.int64)  # each text's parts, and 0 for its end
+        inside = np.ones(len(numbers), bool)
+        inside[cuts[1:] + np.arange(b - a)] = False
+        own = np.empty(len(parts), np.int64)
+        own[heads] = _numbers(parts.filter(pa.array(heads)), known.first, lambda new: known.add(known.first, new, *_encoded(tokenizer, new)))
+        own[~heads] = _numbers(parts.filter(pa.array(~heads)), known.later, lambda new: _add_words(tokenizer, starts, known, new))
+        numbers[inside] = own
+        sizes = known.sizes(numbers)
+        raw = known.joined(numbers, sizes).astype("<u4", copy=False).tobytes()
+        ends = 4 * np.cumsum(sizes)[cuts[1:] + np.arange(b - a)]
+        for x, y in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            yield raw[x:y]
+        known.trim()
 
 
 _MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_bytes", T.LongType())])
 
 
-def write_token_files(docs: DataFrame, folder: str, *, tokenizer_path: str | None = None, end_id: int = 2, ids_per_file: int = 4_000_000, block: int = BLOCK, percentile: float = 0.9) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, *, tokenizer_path: str | None = None, end_id: int = 2, ids_per_file: int = 4_000_000, block: int = BLOCK, percentile: float = 0.9, range_bytes: int = 128_000_000) -> DataFrame:
     """Encode and write every document in ascending doc_id order; returns the manifest (path, part, seq, n_ids, n_docs, n_bytes).
 
-    The rows are range-partitioned by doc_id, so file order (part, seq) is document order. A file's name has a random
+    The rows are range-partitioned by doc_id and the text's beginning, so file order (part, seq) is document order; where the session's
+    shuffle partitions would hold more than range_bytes of text each, there are as many more as that takes. A file's name has a random
     part: a task that runs twice leaves a file that no manifest names. A null text is empty (the end id alone); a null
     doc_id sorts first; rows with equal doc_id are ordered by text; an empty table gives an empty manifest."""
     path = tokenizer_path or default_tokenizer()
-    # a quantity that holds on any session: the partition count follows the data, a file's size ids_per_file
-    ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # the first characters never contradict the order of whole texts, so rows that share a doc_id can lie in several ranges
+    keys = [F.col("doc_id"), F.substring("text", 1, 32)]
+    given = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes)
+    ordered = (rows.repartitionByRange(needed, *keys) if needed > given else rows.repartitionByRange(*keys)).sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -305,7 +380,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """read_token_files of the files that write_token_files makes of `documents`. Rows that repeat a doc_id, null included, lie in one
-    range partition."""
+    """read_token_files of the files that write_token_files makes of `documents`. Rows that repeat a doc_id, null included, are ordered
+    by text; of these only such as begin with the same 32 characters need lie in one range."""
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     return read_token_files(write_token_files(docs, scratch_path(spark, "token-files")))

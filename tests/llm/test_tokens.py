@@ -75,3 +75,29 @@ def test_token_counts_on_edge_rows(spark):
     got = {(r.doc_id, r.n_bytes): (r.n_tokens, r.over_limit) for r in token_counts(docs).collect()}
     assert got[(1, 0)] == (0, False) and (None, 4) in got and got[(4, 10000)][1]
     assert token_counts(docs.limit(0)).count() == 0
+
+
+def test_ids_of_many_batches_and_an_emptied_cache():
+    from tokenizers import Tokenizer
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdeéß", k=r.randint(1, 6))) + r.choice(["", "", ".", ",", "?!", "..a"])
+    texts = [" ".join(word() for _ in range(r.randint(0, 60))) + r.choice(["", " ", "  x"]) for _ in range(400)]
+    t = Tokenizer.from_file(files.default_tokenizer())
+    want = [np.array([*e.ids, 7], "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    known = files._tokenizer(files.default_tokenizer(), 7)[2]
+    known.max_parts = 300
+    assert list(files.encode_texts(texts, files.default_tokenizer(), 7, 2000)) == want
+    assert list(files.encode_texts(texts, files.default_tokenizer(), 7)) == want
+
+
+@pytest.mark.parametrize("range_bytes", [128_000_000, 1000])
+def test_one_doc_id_over_many_ranges(spark, tmp_path, range_bytes):
+    rows = [(7 if i % 3 else None, f"{i * 37 % 501} text of row {i} " + "z" * (i % 40)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = files.write_token_files(docs, f"file://{tmp_path}", ids_per_file=500, range_bytes=range_bytes)
+    got = sorted(files.read_token_files(manifest).collect(), key=lambda r: r.start)
+    want = [len(x) // 4 for x in files.encode_texts([x for _, x in sorted(rows, key=lambda x: (x[0] is not None, x))], files.default_tokenizer(), 2)]
+    assert [r.n_tokens for r in got] == want
+    if range_bytes == 1000:  # else adaptive execution merges such small ranges
+        assert manifest.select("part").distinct().count() > 4
