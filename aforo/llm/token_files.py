@@ -158,7 +158,7 @@ class _Known:
     """Encodings of parts seen before, back to back in one array, and the number of each part: of those at a text's start
     (`first`) and of those behind a space (`later`). Number 0 is the end id alone. Emptied when the parts are many or long."""
 
-    def __init__(self, end_id: int, max_parts: int = 1_500_000, max_chars: int = 30_000_000):
+    def __init__(self, end_id: int, max_parts: int = 1_000_000, max_chars: int = 20_000_000):
         self.end_id, self.max_parts, self.max_chars = end_id, max_parts, max_chars
         self.empty()
 
@@ -180,7 +180,7 @@ class _Known:
     def sizes(self, numbers: np.ndarray) -> np.ndarray:
         return self.cuts[numbers + 1] - self.cuts[numbers]
 
-    def joined(self, numbers: np.ndarray, sizes: np.ndarray, step: int = 500_000) -> np.ndarray:
+    def joined(self, numbers: np.ndarray, sizes: np.ndarray, step: int = 200_000) -> np.ndarray:
         """The ids of these parts one behind the other."""
         out = [np.empty(0, np.uint32)]
         for a in range(0, len(numbers), step):
@@ -273,7 +273,7 @@ def _numbers(parts: pa.Array, where: dict[str, int], add) -> np.ndarray:
     return np.fromiter(map(where.__getitem__, unlike), np.int64, len(unlike))[coded.indices.to_numpy()]
 
 
-def encode_texts(texts: list[str], path: str, end_id: int, batch_bytes: int = 8_000_000) -> Iterator[bytes]:
+def encode_texts(texts: list[str], path: str, end_id: int, batch_bytes: int = 4_000_000) -> Iterator[bytes]:
     """For each text its ids as little-endian u32, with the end id; as the library encodes the whole text.
 
     Texts are cut at lone spaces, where the byte-level pre-tokenizer always starts a new word. Of a batch's parts only unlike
