@@ -168,6 +168,16 @@ def test_many_requests_of_a_series(spark):
     assert "BroadcastNestedLoopJoin" not in plan(scored) and "CartesianProduct" not in plan(scored)
 
 
+def test_requests_find_their_months_without_a_join(spark):
+    kind = "codigo_ipress string, servicio_hospitalizacion string, anio int, mes int, ocupacion_estimada double, presion_ingresos_camas double, total_ingresos double, total_egresos double, total_estancias double"
+    table = lambda months: spark.createDataFrame([("A", "S", 2024, m, 0.4, 0.2, 10.0 * m, 1.0, 1.0) for m in months], kind)
+    scored = temporal.score_rows(table([1, 3, 3, 6, 8, 10]), table([1, 2, 4, 4, 5, 7, 7, 8]))
+    text = plan(scored)
+    got = sorted((r.mes, r.historial_completo, r.promedio_movil_3m_ingresos, r.tendencia_ingresos_1m) for r in scored.collect())
+    assert got == [(1, False, 10.0, 0.0), (3, True, 20.0, 10.0), (3, True, 20.0, 10.0), (6, True, 50.0, 10.0), (8, False, 75.0, 10.0), (10, False, 100.0, 0.0)]
+    assert "Join" not in text and "Generate" not in text and text.count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("header, sep", [("ANHO;MES", ";"), ("Código RENIPRESS", ",")])
 def test_format_expression_agrees_with_the_function(spark, header, sep):
     from aforo import schema as S
