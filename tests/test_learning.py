@@ -4,6 +4,7 @@ import glob
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
@@ -166,3 +167,38 @@ def test_boosting_is_as_good_as_one_against_the_rest_within_sampling_error(table
         return evaluation.classification_metrics(evaluation.confusion_counts(counts)).first().f1_macro
 
     assert f1(trees.fit(ready.rows)) >= f1(rest.fit(ready.rows)) - 2 * math.sqrt(0.25 / rows.count())
+
+
+def test_best_split_of_a_node_equals_brute_force():
+    from aforo.operators.forest import best_splits
+
+    random, sums = np.random.default_rng(3), np.zeros((3, 4, 6, 3))
+    for node in range(4):
+        y = random.integers(0, 3, 40) if node < 3 else np.full(40, 1)  # the last node has one class
+        for j in range(3):
+            np.add.at(sums[j, node], (random.integers(0, 6, 40), y), 0.5)
+    columns = np.array([[5, 9, 2]] * 4)
+    gini = lambda x: x.sum() * (1 - ((x / x.sum()) ** 2).sum()) if x.sum() else 0.0
+    col, cut, gain, below = best_splits(sums, columns)
+    for node in range(4):
+        whole = sums[0, node].sum(axis=0)
+        all_gains = {(j, b): gini(whole) - gini(sums[j, node, : b + 1].sum(axis=0)) - gini(whole - sums[j, node, : b + 1].sum(axis=0)) for j in range(3) for b in range(6)}
+        best = max(all_gains.values())
+        if best < 1e-9:
+            assert col[node] == -1
+            continue
+        at = (columns[node].tolist().index(col[node]), int(cut[node]))
+        assert all_gains[at] == pytest.approx(best) and gain[node] == pytest.approx(best)
+        assert np.allclose(below[node, 1], sums[at[0], node, : at[1] + 1].sum(axis=0)) and np.allclose(below[node, 1] + below[node, 2], whole)
+
+
+def test_forest_passes_of_any_size_grow_the_same_trees(table):
+    from aforo.operators.forest import RandomForest
+
+    ready = learning.prepare(table)
+    grow = lambda **more: RandomForest(trees=5, depth=4, label=learning.TARGET, weight="peso", flags=sum(ready.groups), **more).fit(ready.rows)
+    one, many = grow(), grow(room=1)
+    assert all(np.array_equal(x, y) for a, b in zip(one.trees(), many.trees()) for x, y in zip(a, b))
+    assert sum(one.featureImportances.toArray()) == pytest.approx(1.0)
+    rows = one.transform(ready.rows).select(F.col(learning.TARGET).alias("y"), "prediction").collect()
+    assert sum(r.y == r.prediction for r in rows) > 0.5 * len(rows)
