@@ -202,3 +202,13 @@ def test_forest_passes_of_any_size_grow_the_same_trees(table):
     assert sum(one.featureImportances.toArray()) == pytest.approx(1.0)
     rows = one.transform(ready.rows).select(F.col(learning.TARGET).alias("y"), "prediction").collect()
     assert sum(r.y == r.prediction for r in rows) > 0.5 * len(rows)
+
+
+def test_boosting_adds_up_a_task_s_blocks_before_it_sends():
+    columns, random = boosting.Columns([], [[0.0, 1.0], [0.5]]), np.random.default_rng(1)
+    of = boosting.BoostedTrees(rounds=1, depth=1, classes=3, rows=1.0)
+    block = lambda k: {"block": k, "n": 50, "codes": random.integers(0, 2, (50, 2)).astype(np.uint8).tobytes(), "y": random.integers(0, 3, 50).astype(np.int32).tobytes(), "w": np.ones(50).tobytes(), "ids": np.arange(50, dtype=np.uint64).tobytes(), "margins": np.zeros((50, 3)).tobytes()}
+    blocks, level = [block(1), block(2)], boosting._summing(columns, of, boosting.empty_trees(3, 1), 0, 0, [], "adds")
+    together, (one, other) = dict(level(iter(blocks))), [dict(level(iter([b]))) for b in blocks]
+    assert set(together) == {(0, 0), (1, 0), (2, 0)}
+    assert all(np.allclose(together[k][0], one[k][0] + other[k][0]) and together[k][2] == 100 for k in together)
