@@ -224,6 +224,25 @@ def test_pairs_are_found_among_documents_with_parts_of_their_passage(spark):
     assert pairs_among_decoys(spark, 60, 40, 20, 2) >= 0.9
 
 
+def test_near_pairs_are_found_where_earlier_documents_share_what_surrounds_the_change(spark):
+    rng = random.Random(4)
+    fill = lambda n=30: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    docs, want = [], set()
+    for p in range(20):
+        run = [f"p{p}q{i}" for i in range(50)]
+        other = [*run[:25], "changed", *run[26:]]
+        texts = [[*run[:22], *fill(6), *run[28:]] for _ in range(5)] + [run, other]  # the first five are like none of the others
+        docs += [(7 * p + k, " ".join([*fill(), *t, *fill()])) for k, t in enumerate(texts)]
+        want.add((7 * p + 6, 7 * p + 5))
+    got = {(r.doc_id, r.other_doc_id) for r in substring_dedup.shared_passages(frame(spark, docs).repartition(3)).collect()}
+    assert got <= want and len(got) >= 18  # two hash functions' least shingles can both lie on the change
+
+
+def test_every_document_with_a_passage_has_a_row(spark):
+    rows = spark.createDataFrame([(9, 4, 0, 50, 10, 61, 0.9)], "doc_id long, other_doc_id long, start_word int, end_word int, other_start int, other_end int, similarity double")
+    assert sorted(map(tuple, substring_dedup.both_ways(rows).collect())) == [(4, 9, 10, 61, 0, 50, 0.9), (9, 4, 0, 50, 10, 61, 0.9)]
+
+
 def test_common_runs_are_all_found(spark):
     rng = random.Random(9)
     passages = [[f"p{k}q{i}" for i in range(rng.randint(50, 80))] for k in range(10)]
