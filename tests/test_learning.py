@@ -7,12 +7,13 @@ import re
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from aforo import schema as S
-from aforo.operators import boosting, evaluation, learning, rollup, temporal
+from aforo.operators import boosting, evaluation, learning, logistic, rollup, temporal
 from aforo.plans import catalog
 from aforo.sources import delimited
 
@@ -212,3 +213,22 @@ def test_boosting_adds_up_a_task_s_blocks_before_it_sends():
     together, (one, other) = dict(level(iter(blocks))), [dict(level(iter([b]))) for b in blocks]
     assert set(together) == {(0, 0), (1, 0), (2, 0)}
     assert all(np.allclose(together[k][0], one[k][0] + other[k][0]) and together[k][2] == 100 for k in together)
+
+
+def test_logistic_regression_reaches_the_optimum_in_few_passes(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(600, 3)), rng.integers(0, 2, (600, 2))], axis=1)
+    y = (x @ rng.normal(size=(5, 3)) + rng.gumbel(size=(600, 3))).argmax(axis=1)
+    rows = [(r.tolist(), int(c), float(w)) for r, c, w in zip(x, y, rng.uniform(0.5, 2, 600))]
+    df = spark.createDataFrame(rows, "x array<double>, label int, w double").repartition(3).select(array_to_vector("x").alias("features"), "label", "w")
+    fit = logistic.Logistic(penalty=1 / 600, weight="w")
+    model = fit.fit(df)
+    other = LogisticRegression(maxIter=2000, tol=1e-12, family="multinomial", regParam=1 / 600, standardization=False, weightCol="w").fit(df)
+    assert fit.passes <= 12
+    assert np.abs(model.coefficients - np.c_[other.coefficientMatrix.toArray(), other.interceptVector.toArray()]).max() < 1e-3
+    p = lambda m: np.array([r.p for r in m.transform(df).orderBy("w").select(vector_to_array("probability").alias("p")).collect()])
+    assert np.abs(p(model) - p(other)).max() < 1e-3
+    PipelineModel(stages=[model]).write().save(str(tmp_path / "m"))
+    assert (p(PipelineModel.load(str(tmp_path / "m"))) == p(model)).all()
+    with pytest.raises(ValueError):
+        fit.fit(df.where("w < 0"))
