@@ -238,6 +238,28 @@ def test_near_pairs_are_found_where_earlier_documents_share_what_surrounds_the_c
     assert got <= want and len(got) >= 18  # two hash functions' least shingles can both lie on the change
 
 
+def test_stretches_of_a_group_are_linked_as_brute_force_links_them():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        m = int(rng.integers(1, 14))
+        r = np.zeros(m, substring_dedup._STRETCH)
+        r["run"], r["key"], r["inner"], r["sides"] = np.sort(rng.integers(0, 2, m)), np.arange(m), 1, 1
+        r["inner"][:, :6], r["sides"][:, :2] = rng.integers(0, 2, (m, 6)), rng.integers(1, 3, (m, 2))
+
+        def classes(pairs):
+            root = list(range(m))
+            for i, j in pairs:
+                a, b = root[i], root[j]
+                root = [b if x == a else x for x in root]
+            return {frozenset(k for k in range(m) if root[k] == x) for x in root}
+
+        pairs = [(i, j) for i in range(m) for j in range(i) if r["run"][i] == r["run"][j]]
+        copies = [(i, j) for i, j in pairs if (r["inner"][i] == r["inner"][j]).all() and (r["sides"][i] == r["sides"][j]).all()]
+        alike = [(i, j) for i, j in pairs if substring_dedup._alike(r[i], r[j : j + 1])[0]]
+        first, more = ([*zip(x.tolist(), y.tolist())] for x, y in substring_dedup._met(r))
+        assert classes([*more, *copies, *(p for p in first if p in alike)]) == classes([*alike, *copies])
+
+
 def test_every_document_with_a_passage_has_a_row(spark):
     rows = spark.createDataFrame([(9, 4, 0, 50, 10, 61, 0.9)], "doc_id long, other_doc_id long, start_word int, end_word int, other_start int, other_end int, similarity double")
     assert sorted(map(tuple, substring_dedup.both_ways(rows).collect())) == [(4, 9, 10, 61, 0, 50, 0.9), (9, 4, 0, 50, 10, 61, 0.9)]
