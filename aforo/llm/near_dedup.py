@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, only, table, text_hash
+from .common import drop_steps, fresh, materialize, only, recorded, table, text_hash
 from .segments import text_batches
 from .shingles import _STEP, connected_components, mixed, shingles_of, slices, split_words, word_hashes
 
@@ -284,7 +284,10 @@ def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs that near_duplicates keeps: one document of each class, with the columns of docs, whatever they are named."""
     doc_id, hashed, n = fresh(docs, "doc_id", "text_hash", "n")
-    rows = materialize(_classes(docs, **parameters).where("not chosen or (grouped and n > 1)").select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(hashed), F.when(F.col("chosen"), F.col("n")).alias(n)), "near-dropped")
+    with recorded() as steps:
+        classes = _classes(docs, **parameters)
+    rows = materialize(classes.where("not chosen or (grouped and n > 1)").select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(hashed), F.when(F.col("chosen"), F.col("n")).alias(n)), "near-dropped")
+    drop_steps(steps)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     same = (F.col("doc_id").cast("long") == F.col(f"`{doc_id}`")) & (text_hash("text") == F.col(f"`{hashed}`"))
     kept = docs.join(rows, same, "left_anti").select(*columns)

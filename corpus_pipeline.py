@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm.common import fresh, materialize, only, scratch_path, table, text_hash
+from aforo.llm.common import drop_steps, fresh, materialize, only, recorded, scratch_path, table, text_hash
 from aforo.llm.decontamination import contamination
-from aforo.llm.mixing import mix, word_count
+from aforo.llm.mixing import mixed_copies, word_count
 from aforo.llm.near_dedup import keep_one
 from aforo.llm.quality_rules import keep_good
 from aforo.llm.token_files import read_token_files, write_token_files
@@ -31,23 +31,19 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents with ten consecutive words of a benchmark item, or a whole shorter item, go."""
     (key,) = fresh(docs, "row_key")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", text_hash("text")))
-    found = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), only(table(spark, sf_dir, "benchmark"), "item_id", "text"), span=0)
+    with recorded() as steps:
+        found = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), only(table(spark, sf_dir, "benchmark"), "item_id", "text"), span=0)
     hit = materialize(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    drop_steps(steps)
     return keyed.join(hit, key, "left_anti").select(*_columns(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: a row a copy, none for those it leaves out. Rows with equal doc_id, source
-    and text are mixed each; one of them then stands for all, as often as they are taken together."""
-    key, copies, n, nr = fresh(docs, "row_key", "copies", "n_rows", "copy_nr")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", text_hash("text")))
-    taken = mix(keyed.select(F.col(key).alias("doc_id"), "source", word_count(F.col("text")).alias("size")))
-    each = F.when(F.col("size") > 0, F.expr("taken div size"))
-    wanted = materialize(taken.groupBy(F.col("doc_id").alias(key)).agg(F.sum(each).alias(copies), F.count("*").alias(n)).where(F.col(copies) > 0), "mix-copies")
-    found = keyed.join(wanted, key)
-    rows = found
-    if not wanted.where(F.col(n) > 1).isEmpty():
-        rows = found.where(F.col(n) == 1).union(found.where(F.col(n) > 1).dropDuplicates([key]))
+    and text are mixed each; where only some of them are taken once more, one stands for all, as often as they are taken together."""
+    key, size, copies, nr = fresh(docs, "row_key", "n_words", "copies", "copy_nr")
+    keyed = docs.withColumns({key: F.xxhash64("doc_id", "source", text_hash("text")), size: word_count(F.col("text"))})
+    rows = mixed_copies(keyed, key=key, size=size, copies=copies).where(F.col(copies) > 0)
     return rows.select(*_columns(docs), F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(nr)).drop(nr)
 
 
@@ -67,7 +63,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; of what they write only the last stage's files stay."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with recorded() as steps:
+            kept = stage(spark, docs, sf_dir)
+        with recorded() as written:
+            docs = materialize(kept, f"stage-{name}")
+        drop_steps(last + steps)
+        last = written
+    found = STAGES[-1][1](spark, docs, sf_dir)
+    drop_steps(last)
+    return found
