@@ -56,7 +56,12 @@ def clean_measures(df: DataFrame, columns: Sequence[str] = S.RAW_MEASURES) -> Da
 
 
 def clean_records(df: DataFrame) -> DataFrame:
-    return df.transform(drop_exact_copies).transform(clean_texts).transform(filter_services).transform(clean_periods).transform(clean_measures)
+    return clean_unlike(drop_exact_copies(df))
+
+
+def clean_unlike(df: DataFrame) -> DataFrame:
+    """clean_records of rows that have no exact copies."""
+    return df.transform(clean_texts).transform(filter_services).transform(clean_periods).transform(clean_measures)
 
 
 def filter_scope(df: DataFrame, department: str = "LIMA", province: str = "LIMA", sectors: Sequence[str] = S.PUBLIC_SECTORS, strict: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aforo.operators import evaluation, quality, risk, rollup, temporal
 from aforo.operators.headers import D1, INTERNAL, UNKNOWN, detect_format, format_of
-from aforo.plans import panel
+from aforo.plans import catalog, panel
 from aforo.sources import delimited
 
 SF = "/root/testdata/sf0.001"
@@ -188,3 +188,16 @@ def test_format_expression_agrees_with_the_function(spark, header, sep):
     got = [r.f for r in spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, h string").orderBy("k").select(format_of(F.col("h"), F.lit(sep)).alias("f")).collect()]
     assert got == [detect_format(c.strip('" ') for c in x.split(sep)) for x in lines]
     assert got[2] == INTERNAL and got[1] in (D1, UNKNOWN)
+
+
+def test_stages_compute_no_column_that_no_step_asks_for(spark):
+    got = rollup.stage_counts(spark.range(10), "a", b=lambda d: d.withColumn("x", F.raise_error(F.lit("no"))), c=lambda d: d.where("id < 4"))
+    assert [tuple(r) for r in got.collect()] == [("a", 10), ("b", 10), ("c", 4)]
+
+
+def test_stage_counts_drops_copies_before_it_cleans_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(rollup, "stage_counts", lambda source, first, **steps: seen.update(steps, source=source) or spark.createDataFrame([(first, 1)], "etapa string, registros long"))
+    catalog.queries()["stage_counts"](spark, "/root/testdata/sf0.001")
+    first = next(iter(seen.values()))(seen["source"])
+    assert "regexp" not in plan(first).lower() and first.count() == seen["source"].distinct().count()
