@@ -7,9 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from aforo.llm import decontamination as dec
 from aforo.llm import lm_scoring, near_dedup, quality_rules, substring_dedup
+from aforo.llm.shingles import word_hashes
 
 R = random.Random(11)
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -189,6 +191,28 @@ def test_compact_windows_are_the_trees_nodes():
     assert set(zip(left.tolist(), c.tolist(), right.tolist())) == want
 
 
+def test_windows_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 30, n).astype(np.uint64) for n in (0, 40, 3, 0, 0, 200, 5, 90, 0)]  # few values, so many ties
+    ends = np.cumsum([len(t) for t in texts])
+    together = set(zip(*(x.tolist() for x in substring_dedup.compact_windows(np.concatenate(texts), ends, 3, 6))))
+    alone = set()
+    for t, end in zip(texts, ends.tolist()):
+        v, *bounds = substring_dedup.compact_windows(t, np.array([len(t)]), 3, 6)
+        alone |= set(zip(v.tolist(), *((x + end - len(t)).tolist() for x in bounds)))
+    assert together == alone and len(alone) > 20
+
+
+def test_words_are_hashed_together_as_the_library_hashes_each(monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcé漢z\U0001f600") for _ in range(rng.randint(0, 45))) for _ in range(3000)] + ["a" * n for n in range(70)]
+    hashed, one = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda x: hashed.append(x) or one(x))
+    for given in (pa.array(words), pa.array(words)[7:], pa.array(["", "b"], pa.large_string()), pa.array([], pa.string())):
+        assert word_hashes(given).tolist() == [one(w) for w in given.to_pylist()]
+    assert all(len(x) >= 32 for x in hashed)
+
+
 def test_shared_passages(spark):
     docs, passage = corpus()
     got = substring_dedup.shared_passages(frame(spark, docs)).collect()
@@ -260,6 +284,19 @@ def test_stretches_of_a_group_are_linked_as_brute_force_links_them():
         assert classes([*more, *copies, *(p for p in first if p in alike)]) == classes([*alike, *copies])
 
 
+def test_small_groups_of_stretches_are_compared_together(monkeypatch):
+    rng = np.random.default_rng(2)
+    r = np.zeros(3000, substring_dedup._STRETCH)
+    r["run"], r["key"] = np.arange(3000) // 3, np.arange(3000)
+    r["inner"], r["sides"] = rng.integers(0, 2, (3000, 10)), rng.integers(1, 3, (3000, 14))
+    calls, alike = [], substring_dedup._alike
+    monkeypatch.setattr(substring_dedup, "_alike", lambda *args: calls.append(1) or alike(*args))
+    want = [list(map(tuple, zip(*x))) for x in substring_dedup._met(r)]
+    assert len(calls) < 10  # not some for each of the 1,000 groups
+    monkeypatch.setattr(substring_dedup, "_SMALL", 0)  # each group by itself
+    assert [list(map(tuple, zip(*x))) for x in substring_dedup._met(r)] == want and want[1]
+
+
 def test_every_document_with_a_passage_has_a_row(spark):
     rows = spark.createDataFrame([(9, 4, 0, 50, 10, 61, 0.9)], "doc_id long, other_doc_id long, start_word int, end_word int, other_start int, other_end int, similarity double")
     assert sorted(map(tuple, substring_dedup.both_ways(rows).collect())) == [(4, 9, 10, 61, 0, 50, 0.9), (9, 4, 0, 50, 10, 61, 0.9)]
