@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
@@ -67,6 +68,29 @@ def test_permutation_finds_the_column_that_decides(table, spark):
     assert got == {r.variable: r.importancia for r in learning.permutation_importance(model, decided, ["total_ingresos", "mes_sin", "sector"], repeats=2, max_rows=500).collect()}
 
 
+def test_permutation_takes_every_test_row(table, spark, monkeypatch):
+    many = table.crossJoin(spark.range(12).withColumnRenamed("id", "k")).withColumn("codigo_ipress", F.concat_ws("-", "codigo_ipress", "k")).drop("k")
+    n = many.count()
+    assert n > 5000
+    model = learning.fit(table, "Regresion_Logistica", iterations=3)
+    told, metrics = [], learning.classification_metrics
+    monkeypatch.setattr(learning, "classification_metrics", lambda counts: told.extend(counts.groupBy("modelo").agg(F.sum("n").alias("n")).collect()) or metrics(counts))
+    got = learning.permutation_importance(model, many, ["mes", "sector"], repeats=2).collect()
+    assert {r.variable for r in got} == {"mes", "sector"}
+    assert {r.modelo: r.n for r in told} == {m: n for m in ("", "mes|0", "mes|1", "sector|0", "sector|1")}
+
+
+def test_a_deal_gives_each_value_once():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (300, 2)).astype(float)
+    y = x[:, 0].astype(int)
+    block = pa.table({"vez": np.zeros(300, int), "h": rng.permutation(300), "y": y, "x": list(x)})
+    cells = learning._permuted({"a": np.array([0]), "b": np.array([1])}, lambda x: x[:, :1] == np.arange(3))(block).to_pylist()
+    by = {m: {(c["y"], c["yhat"]): c["n"] for c in cells if c["modelo"] == m} for m in ("", "a|0", "b|0")}
+    assert by[""] == by["b|0"] == {(k, k): int((y == k).sum()) for k in range(3)}  # b decides nothing
+    assert [sum(n for (_, p), n in by["a|0"].items() if p == k) for k in range(3)] == np.bincount(y).tolist() and len(by["a|0"]) == 9
+
+
 def test_importance_covers_every_predictor(run):
     assert {r.variable for r in run.importance.collect()} == set(S.PREDICTORS)
 
