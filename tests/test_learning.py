@@ -80,6 +80,15 @@ def test_permutation_takes_every_test_row(table, spark, monkeypatch):
     assert {r.modelo: r.n for r in told} == {m: n for m in ("", "mes|0", "mes|1", "sector|0", "sector|1")}
 
 
+def test_the_importance_of_a_run_takes_every_test_row(run, table, spark, monkeypatch):
+    many = table.crossJoin(spark.range(12).withColumnRenamed("id", "k")).withColumn("codigo_ipress", F.concat_ws("-", "codigo_ipress", "k")).drop("k")
+    told, metrics = [], learning.classification_metrics
+    monkeypatch.setattr(learning, "classification_metrics", lambda counts: told.extend(counts.groupBy("modelo").agg(F.sum("n").alias("n")).collect()) or metrics(counts))
+    got = learning.importance(run.models["Regresion_Logistica", "temporal"], many).collect()
+    assert {r.variable for r in got} == set(S.PREDICTORS)
+    assert len(told) == 5 * len(S.PREDICTORS) + 1 and {r.n for r in told} == {many.count()} and many.count() > 5000
+
+
 def test_a_deal_gives_each_value_once():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 3, (300, 2)).astype(float)
