@@ -262,6 +262,20 @@ def test_near_pairs_are_found_where_earlier_documents_share_what_surrounds_the_c
     assert got <= want and len(got) >= 18  # two hash functions' least shingles can both lie on the change
 
 
+def test_near_pairs_are_found_wherever_the_change_lies_and_whoever_leads(spark):
+    rng = random.Random(6)
+    fill = lambda n=30: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    docs, want = [], set()
+    for p in range(60):
+        run, k = [f"p{p}q{i}" for i in range(53)], rng.randrange(5, 48)
+        other = [*run[:k], *[["changed"], [run[k], "added"], []][p % 3], *run[k + 1 :]]
+        texts = [[*run[: max(k - 3, 0)], *fill(6), *run[k + 3 :]] for _ in range(5)] + [run, other]
+        docs += [(7 * p + i, " ".join([*fill(), *t, *fill()])) for i, t in enumerate(texts)]
+        want.add((7 * p + 6, 7 * p + 5))
+    got = {(r.doc_id, r.other_doc_id) for r in substring_dedup.shared_passages(frame(spark, docs).repartition(3)).collect()}
+    assert got == want
+
+
 def test_stretches_of_a_group_are_linked_as_brute_force_links_them():
     rng = np.random.default_rng(1)
     for _ in range(100):
